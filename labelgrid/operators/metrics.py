@@ -167,7 +167,7 @@ def pool_to_qrels(pool: DataFrame) -> DataFrame:
 def metric_table(by_type: DataFrame, type_order: list[str]) -> DataFrame:
     """Report cells with three decimals and ``---`` for missing, in system and type order."""
     order = F.array_position(F.array(*[F.lit(x) for x in type_order]), F.col("query_type"))
-    cells = [F.coalesce(F.format_string("%.3f", m), F.lit("---")).alias(m) for m in METRICS]
+    cells = [F.when(F.col(m).isNotNull(), F.format_string("%.3f", m)).otherwise("---").alias(m) for m in METRICS]
     listed = by_type.where(order > 0)
     cut = F.max(F.col("map").isNull()).over(Window.partitionBy("system"))
     name = F.when(cut, F.concat("system", F.lit(" (legacy top-10)"))).otherwise(F.col("system"))
