@@ -20,6 +20,13 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
+def all_grams(c: Column, size: int) -> Column:
+    """Every run of ``size`` characters; none when the text is shorter."""
+    starts = F.sequence(F.lit(1), F.length(c) - size + 1)
+    runs = F.transform(starts, lambda at: F.substring(c, at, F.lit(size)))
+    return F.when(F.length(c) >= size, runs).otherwise(F.array().cast("array<string>"))
+
+
 def is_blank(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit("")) == ""
 
@@ -251,7 +258,7 @@ def clean_model_text(c: Column) -> Column:
         quoted = F.transform(
             F.json_object_keys(clean),
             lambda k: F.when(
-                clean.rlike(F.concat(F.lit("\""), F.regexp_replace(k, r"([^\p{L}\p{N}_ ])", r"\\\\$1"), F.lit("\"\\s*:\\s*\""))),
+                F.rlike(clean, F.concat(F.lit('"'), F.regexp_replace(k, r"([^\p{L}\p{N}_ ])", r"\\$1"), F.lit('"\\s*:\\s*"'))),
                 F.element_at(fields, k),
             ),
         )

@@ -158,10 +158,7 @@ def lexical_hits(queries: DataFrame, items: DataFrame, ship_rows: int | None = N
     if rows is None:
         gram = F.when(F.length("needle") >= 8, 8).when(F.length("needle") >= 4, 4).when(F.length("needle") >= 2, 2).otherwise(1)
         keyed = needles.withColumn("gram", F.substring("needle", F.lit(1), gram))
-        grams = F.flatten(F.array(*[
-            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("hay") - g + 1)), lambda at, g=g: F.substring(F.col("hay"), at, F.lit(g)))
-            for g in GRAMS
-        ]))
+        grams = F.flatten(F.array(*[tx.all_grams(F.col("hay"), g) for g in GRAMS]))
         found = haystack.withColumn("gram", F.explode(F.array_distinct(grams))).join(keyed, "gram")
         return found.where(F.col("hay").contains(F.col("needle"))).select("query_id", "item_id")
     if not rows:

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelgrid.functions import text as tx
-from labelgrid.functions.labels import tag_norm
 from labelgrid.operators import catalog as ca
 from labelgrid.operators import numbering as nu
 from labelgrid.operators import ranking as rk
@@ -144,9 +143,9 @@ def search_labels(t):
     return ca.search_labels(labels(t), " R_d ").select("id", "name", "slug")
 
 
-@query("search_literal_escaped", "SELECT doc_id FROM documents WHERE contains(text, '_')")
+@query("search_literal_escaped", "SELECT page_id FROM pages WHERE contains(html, '%%%')")
 def search_literal(t):
-    return t.documents.where(ca.like_literal(F.col("text"), F.lit("_"))).select("doc_id")
+    return t.pages.where(ca.like_literal(F.col("html"), F.lit("%%%"))).select("page_id")
 
 
 @query("search_note_text", sql("SELECT id, image_id FROM notes WHERE contains(strip_accents(lower(body)), 'eaux')"))
