@@ -19,6 +19,15 @@ INDICES = T.ArrayType(T.IntegerType(), False)
 VECTORS = [T.StructField("dense", DENSE), T.StructField("sparse_idx", INDICES), T.StructField("sparse_w", DENSE)]
 
 
+def count_terms(token_lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, term number and count of every (row, term), in that order, and the terms."""
+    sizes = np.fromiter((len(t) for t in token_lists), dtype=np.int64, count=len(token_lists))
+    flat = np.array([t for tokens in token_lists for t in tokens], dtype=object)
+    codes, terms = pd.factorize(flat)
+    keys, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(terms)) + codes, return_counts=True)
+    return keys // max(1, len(terms)), keys % max(1, len(terms)), counts, terms
+
+
 class HashingEncoder:
     """Default encoder: term counts, hashed to a short dense and a wide sparse vector, unit length.
 
@@ -26,38 +35,47 @@ class HashingEncoder:
     eighth digit gives the sign of its part in the dense vector.
     """
 
+    batch = 1024
+
     def __init__(self, dims: int = 64):
         self.dims = dims
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
 
-    def place(self, term: str) -> tuple[int, int]:
+    def number(self, term: str) -> int:
+        """First eight hex digits of the term's MD5, remembered for common terms."""
         found = self.known.get(term)
         if found is None:
-            digest = hashlib.md5(term.encode()).hexdigest()
-            found = int(digest[:7], 16), 1 - 2 * (int(digest[7], 16) % 2)
-            if len(self.known) < 1_000_000:
+            found = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+            if len(self.known) < 500_000:
                 self.known[term] = found
         return found
 
     def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        out = []
+        tokens = []
         for text in texts:
-            plain = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode().lower()
-            counts: dict[int, int] = {}
-            dense = np.zeros(self.dims)
-            for term in re.findall(r"[a-z0-9]+", plain):
-                index, sign = self.place(term)
-                counts[index] = counts.get(index, 0) + 1
-                dense[index % self.dims] += sign
-            idx = np.array(sorted(counts), dtype=np.int32)
-            weights = np.array([counts[i] for i in idx], dtype=np.float64)
-            size, length = np.sqrt((weights**2).sum()), np.sqrt((dense**2).sum())
-            out.append((
-                (dense / length if length > 0 else dense).astype(np.float32),
-                idx,
-                (weights / size if size > 0 else weights).astype(np.float32),
-            ))
-        return out
+            text = text or ""
+            if not text.isascii():
+                text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+            tokens.append(re.findall(r"[a-z0-9]+", text.lower()))
+        row, term, count, terms = count_terms(tokens)
+        numbers = np.array([self.number(t) for t in terms], dtype=np.int64)
+        index, sign = numbers >> 4, 1 - 2 * (numbers & 1)
+        place = index[term] if len(terms) else term
+        signed = count * sign[term] if len(terms) else count
+        dense = np.bincount(row * self.dims + place % self.dims, weights=signed, minlength=len(texts) * self.dims).reshape(len(texts), self.dims)
+        dense = self._unit(dense, np.sqrt((dense**2).sum(axis=1)))
+        # Terms that share an index are one entry of the sparse vector.
+        keys, at = np.unique(row * (1 << 28) + place, return_inverse=True)
+        weights = np.bincount(at, weights=count, minlength=len(keys))
+        rows, places = keys >> 28, (keys & ((1 << 28) - 1)).astype(np.int32)
+        sizes = np.sqrt(np.bincount(rows, weights=weights**2, minlength=len(texts)))
+        weights = (weights / sizes[rows]).astype(np.float32)
+        cuts = np.searchsorted(rows, np.arange(1, len(texts)))
+        return list(zip(dense, np.split(places, cuts), np.split(weights, cuts)))
+
+    @staticmethod
+    def _unit(matrix: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return np.divide(matrix, length[:, None], out=matrix.copy(), where=length[:, None] > 0).astype(np.float32)
 
 
 def with_retry(call: Callable, attempts: int = 3, wait_s: float = 0.0) -> Callable:
@@ -79,17 +97,21 @@ def encode_column(
     df: DataFrame,
     column: str,
     load_encoder: Callable[[], Callable] = HashingEncoder,
-    batch: int = 16,
+    batch: int | None = None,
     attempts: int = 3,
 ) -> DataFrame:
-    """Add ``dense``, ``sparse_idx`` and ``sparse_w``; the encoder is loaded once per task."""
+    """Add ``dense``, ``sparse_idx`` and ``sparse_w``; the encoder is loaded once per task.
+
+    Without ``batch`` the encoder's own batch size is taken, or 16 texts.
+    """
     schema = T.StructType(df.schema.fields + VECTORS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = with_retry(load_encoder(), attempts)
+        model = load_encoder()
+        encode, size = with_retry(model, attempts), batch or getattr(model, "batch", 16)
         for frame in frames:
             texts = frame[column].tolist()
-            vectors = [v for at in range(0, len(texts), batch) for v in encode(texts[at : at + batch])]
+            vectors = [v for at in range(0, len(texts), size) for v in encode(texts[at : at + size])]
             yield frame.assign(
                 dense=[v[0] for v in vectors], sparse_idx=[v[1] for v in vectors], sparse_w=[v[2] for v in vectors]
             )

@@ -1,6 +1,6 @@
 """Exact top-k and threshold search of many queries over many vectors.
 
-Few queries (a probe proves at most ``SHIP_ROWS``): the query block goes to every
+Few queries (a probe proves the size of the block): the query block goes to every
 task, each task streams its part of the index through a matrix product and
 keeps a running top-k, so the index is read once, never shuffled, and at most
 k rows per query leave a task. When the index has many partitions, thresholds
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelgrid.operators.ranking import SCORE_DIGITS, topk
-from labelgrid.session import rows_if_small, through_table
+from labelgrid.session import frame_if_small, through_table
 
 BLOCK_CELLS = 4_000_000  # scores held at once by a task
 TERM_CELLS = 16_000_000  # entries of a shipped query-by-term matrix
+SHIP_ROWS = 65_536  # most queries of a shipped block
+SHIP_CELLS = 16_000_000  # bound on queries times (vector length plus k)
 INDEX_TILE, QUERY_TILE = 20_000, 4_000
-PIVOTS = 128
+CELL_ROWS, PIVOTS = 4_000, 512
 SEED_PARTITIONS = 64
 SEED_SHARE = 100
 ANGLE_SLACK = 1e-6
@@ -155,21 +157,23 @@ def dense_search(queries: DataFrame, index: DataFrame, k: int | None = None, min
         raise ValueError("give k or min_score, otherwise every pair would be a hit")
     limits = Limits(k, min_score, skip_self, earlier_only)
     queries, index = queries.select("query_id", "vector"), index.select("id", "vector")
-    rows = rows_if_small(queries) if ship_rows is None else rows_if_small(queries, ship_rows)
-    if rows is None:
+    block = frame_if_small(queries, SHIP_ROWS if ship_rows is None else ship_rows)
+    if block is not None and len(block) * (len(block["vector"].iloc[0]) + (k or 1) if len(block) else 1) > SHIP_CELLS:
+        block = None
+    if block is None:
         return _finish(_dense_tiles(queries, index, limits), limits)
-    if not rows:
+    if not len(block):
         return index.sparkSession.createDataFrame([], HITS).withColumn("rank", F.lit(1))
-    rows.sort(key=lambda r: r["query_id"])
-    query_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    matrix = _unit(r["vector"] for r in rows)
+    block = block.sort_values("query_id")
+    query_ids = block["query_id"].to_numpy(np.int64)
+    matrix = index.sparkSession.sparkContext.broadcast(_unit(block["vector"]))
     step = max(1, BLOCK_CELLS // len(query_ids))
 
     def scorer(frame):
         ids = frame["id"].to_numpy(np.int64)
         for at in range(0, len(frame), step):
-            block = _unit(frame["vector"].iloc[at : at + step])
-            yield matrix @ block.T, ids[at : at + step], None
+            part = _unit(frame["vector"].iloc[at : at + step])
+            yield matrix.value @ part.T, ids[at : at + step], None
 
     return _finish(_stream(index, query_ids, limits, scorer, _seed_floors(index, query_ids, limits, scorer)), limits)
 
@@ -177,7 +181,8 @@ def dense_search(queries: DataFrame, index: DataFrame, k: int | None = None, min
 def _dense_tiles(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFrame:
     """Tile join for a query side too large to ship."""
     index = through_table(index, "tiles")
-    picked = index.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+    wanted = min(PIVOTS, max(16, index.count() // CELL_ROWS))
+    picked = index.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
     if not picked:
         return index.sparkSession.createDataFrame([], HITS)
     pivots = _unit(r["vector"] for r in picked)
@@ -233,15 +238,17 @@ def _dense_tiles(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFr
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
 
+    nothing = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+
     def tile(key, qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ds):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return nothing
         buffer = TopBuffer(qs["query_id"].to_numpy(np.int64), limits, None)
         matrix, ids = _unit(qs["vector"]), ds["id"].to_numpy(np.int64)
         step = max(1, BLOCK_CELLS // len(qs))
         for at in range(0, len(ds), step):
             buffer.add(matrix @ _unit(ds["vector"].iloc[at : at + step]).T, ids[at : at + step])
-        return pd.concat(list(buffer.frames()), ignore_index=True)
+        return pd.concat([nothing, *buffer.frames()], ignore_index=True)
 
     keys = ["cell", "slice", "block"]
     columns = [*keys, "vector"]
@@ -256,42 +263,53 @@ def sparse_search(queries: DataFrame, index: DataFrame, k: int | None = None, mi
 
     Both sides carry ``idx`` (terms or their numbers, each once per row) and
     ``w``. Rows that share no term are no hits, unless ``all_rows`` lets them in
-    with score zero.
+    with score zero (and weights may then be of either sign).
     """
     limits = Limits(k, min_score, digits=digits)
     queries, index = queries.select("query_id", "idx", "w"), index.select("id", "idx", "w")
-    rows = rows_if_small(queries)
-    if rows is not None:
-        rows.sort(key=lambda r: r["query_id"])
-        vocabulary = pd.Index(sorted({t for r in rows for t in r["idx"]}))
-        if len(rows) * max(1, len(vocabulary)) > (TERM_CELLS if ship_cells is None else ship_cells):
-            rows = None
-    if rows is None:
+    block = frame_if_small(queries, SHIP_ROWS)
+    if block is not None:
+        block = block.sort_values("query_id")
+        vocabulary = pd.Index(sorted({t for terms in block["idx"] for t in terms}))
+        if len(block) * max(1, len(vocabulary) + (k or 1)) > (TERM_CELLS if ship_cells is None else ship_cells):
+            block = None
+    if block is None:
         return _finish(_sparse_join(queries, index, limits, all_rows), limits)
-    if not rows or (not len(vocabulary) and not all_rows):
+    if not len(block) or (not len(vocabulary) and not all_rows):
         return index.sparkSession.createDataFrame([], HITS).withColumn("rank", F.lit(1))
-    query_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    matrix = np.zeros((len(rows), max(1, len(vocabulary))))
-    for at, r in enumerate(rows):
-        if r["idx"]:
-            matrix[at, vocabulary.get_indexer(r["idx"])] = r["w"]
-    touched = (matrix != 0).astype(np.float32)
-    step = max(1, BLOCK_CELLS // max(len(query_ids), matrix.shape[1]))
+    query_ids = block["query_id"].to_numpy(np.int64)
+    matrix = np.zeros((len(block), max(1, len(vocabulary))))
+    for at, (terms, weights) in enumerate(zip(block["idx"], block["w"])):
+        if len(terms):
+            matrix[at, vocabulary.get_indexer(terms)] = weights
+    per_term = index.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix.T))
+    held = max(1, BLOCK_CELLS // len(query_ids))
 
     def scorer(frame):
         ids = frame["id"].to_numpy(np.int64)
-        for at in range(0, len(frame), step):
-            part = frame.iloc[at : at + step]
-            sizes = part["idx"].map(len).to_numpy()
-            row = np.repeat(np.arange(len(part)), sizes)
-            block = np.zeros((len(part), matrix.shape[1]))
-            if len(vocabulary) and len(row):
-                place = vocabulary.get_indexer(np.concatenate(part["idx"].to_numpy()))
-                weight = np.concatenate(part["w"].to_numpy()).astype(np.float64)
-                hit = place >= 0
-                block[row[hit], place[hit]] = weight[hit]
-            shared = None if all_rows else (touched @ (block != 0).astype(np.float32).T) > 0
-            yield matrix @ block.T, ids[at : at + step], shared
+        sizes = frame["idx"].map(len).to_numpy()
+        row = np.repeat(np.arange(len(frame)), sizes)
+        if len(vocabulary) and len(row):
+            place = vocabulary.get_indexer(np.concatenate(frame["idx"].to_numpy()))
+            weight = np.concatenate(frame["w"].to_numpy()).astype(np.float64)
+            row, place, weight = row[place >= 0], place[place >= 0], weight[place >= 0]
+        else:
+            row, place, weight = row[:0], row[:0], np.zeros(0)
+        at = 0
+        while at < len(frame):
+            # As many rows as keep the gathered entries and the scores within the bound.
+            first = np.searchsorted(row, at)
+            upto = row[first + held] if first + held < len(row) else len(frame)
+            upto = min(max(upto, at + 1), at + held, len(frame))
+            last = np.searchsorted(row, upto)
+            scores = np.zeros((upto - at, len(query_ids)))
+            for cut in range(first, last, held):
+                part = slice(cut, min(cut + held, last))
+                rows, starts = np.unique(row[part], return_index=True)
+                scores[rows - at] += np.add.reduceat(per_term.value[place[part]] * weight[part, None], starts, axis=0)
+            # Weights are positive without all_rows, so a shared term shows as a score above zero.
+            yield scores.T, ids[at:upto], None if all_rows else scores.T > 0
+            at = upto
 
     return _finish(_stream(index, query_ids, limits, scorer, _seed_floors(index, query_ids, limits, scorer)), limits)
 

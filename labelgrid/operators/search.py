@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from labelgrid.functions import text as tx
 from labelgrid.functions import vectors as vec
 from labelgrid.operators import ranking as rk
-from labelgrid.operators.encode import HashingEncoder, encode_column
+from labelgrid.operators.encode import HashingEncoder, count_terms, encode_column
 from labelgrid.operators.scan import dense_search, sparse_search
 from labelgrid.session import rows_if_small, spread, through_table
 
@@ -20,6 +21,7 @@ SEGMENT_SPAN = 1_000_000  # positions reserved for the segments of one item
 BRANCH_DEPTH = 1000  # segment hits each branch hands to the roll-up
 RRF_K = 60
 BM25_DIGITS = 6
+SHIP_TERMS = 1_000_000
 
 
 def segments_of(items: DataFrame, mode: str = "both") -> DataFrame:
@@ -199,7 +201,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: f
     """Okapi BM25 top-k: ``query_id, id, score, rank``; documents without a shared term score 0.
 
     Document frequencies and lengths are aggregates; term weights of a document
-    are made next to its text, so no (document, term) row is ever shuffled.
+    are made next to its text, so no (document, term) row is ever shuffled. Only
+    terms that a query asks for leave the counting step.
     """
     tokens = spread(docs.select("id", "text")).select("id", tx.search_tokens(F.col("text")).alias("tokens"))
     size = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
@@ -219,18 +222,24 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: f
         F.coalesce(F.col("t.w"), F.array().cast("array<double>")).alias("w"),
     )
 
+    sided = through_table(sided, "bm25-queries")
+    known = rows_if_small(sided.select(F.explode("idx").alias("term")).distinct(), SHIP_TERMS)
+    vocabulary = None if known is None else pd.Index([r["term"] for r in known], dtype=object)
+
     def weigh(frames):
         for frame in frames:
-            idx, weights = [], []
-            for words in frame["tokens"]:
-                counts = pd.Series(words, dtype=object).value_counts(sort=False)
-                tf = counts.to_numpy(dtype="float64")
-                idx.append(counts.index.tolist())
-                weights.append(tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / avg_len)))
-            yield pd.DataFrame({"id": frame["id"], "idx": idx, "w": weights})
+            lengths = frame["tokens"].map(len).to_numpy()
+            row, term, count, terms = count_terms(frame["tokens"].tolist())
+            if vocabulary is not None and len(terms):
+                asked_for = pd.Index(terms).isin(vocabulary)[term]
+                row, term, count = row[asked_for], term[asked_for], count[asked_for]
+            weight = count * (k1 + 1) / (count + k1 * (1 - b + b * lengths[row] / avg_len))
+            cuts = np.searchsorted(row, np.arange(1, len(frame)))
+            words = np.asarray(terms, dtype=object)[term] if len(terms) else np.array([], dtype=object)
+            yield pd.DataFrame({"id": frame["id"], "idx": np.split(words, cuts)[: len(frame)], "w": np.split(weight, cuts)[: len(frame)]})
 
     weighted = tokens.mapInPandas(weigh, "id long, idx array<string>, w array<double>")
-    return sparse_search(through_table(sided, "bm25-queries"), weighted, k, all_rows=True, digits=BM25_DIGITS, ship_cells=ship_cells)
+    return sparse_search(sided, weighted, k, all_rows=True, digits=BM25_DIGITS, ship_cells=ship_cells)
 
 
 # ---------------------------------------------------------------- near duplicates

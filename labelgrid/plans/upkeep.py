@@ -289,8 +289,8 @@ def activity_replay(t):
 @query("ingest_replay", NEAR + f""",
 sets AS (SELECT doc_id AS id, list_distinct({s.tokens('text')}) AS tk FROM documents),
 v AS (SELECT n.id, len(list_intersect(a.tk, b.tk))::DOUBLE / len(list_distinct(list_concat(a.tk, b.tk))) AS verify FROM near n JOIN sets a ON a.id = n.id JOIN sets b ON b.id = n.match_id),
-r AS (SELECT doc_id, CASE WHEN verify > 0.9 THEN 'duplicate' ELSE 'indexed' END AS status FROM documents LEFT JOIN v ON v.id = doc_id)
-SELECT r.doc_id, status, i.item_id FROM r LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS item_id FROM r WHERE status = 'indexed') i USING (doc_id)""")
+res AS (SELECT doc_id, CASE WHEN verify > 0.9 THEN 'duplicate' ELSE 'indexed' END AS status FROM documents LEFT JOIN v ON v.id = doc_id)
+SELECT res.doc_id, status, i.item_id FROM res LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS item_id FROM res WHERE status = 'indexed') i USING (doc_id)""")
 def ingest_replay(t):
     docs = st.file_stream(t.spark, f"{t.folder}/documents.parquet", t.documents.schema).select("doc_id", "text", F.lit("image/png").alias("content_type"))
     events, index = st.ingest_stream(docs, shared_folder(t.spark, "ingest"))

@@ -56,6 +56,12 @@ def through_table(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frame_if_small(df: DataFrame, bound: int):
+    """As ``rows_if_small``, fetched as Arrow batches into a pandas frame."""
+    frame = df.limit(bound + 1).toPandas()
+    return frame if len(frame) <= bound else None
+
+
 def rows_if_small(df: DataFrame, bound: int = SHIP_ROWS) -> list | None:
     """All rows when there are at most ``bound`` of them, otherwise ``None``."""
     rows = df.limit(bound + 1).collect()
