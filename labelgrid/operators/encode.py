@@ -58,11 +58,12 @@ class HashingEncoder:
                 text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
             tokens.append(re.findall(r"[a-z0-9]+", text.lower()))
         row, term, count, terms = count_terms(tokens)
+        count = count.astype(np.float64)
         numbers = np.array([self.number(t) for t in terms], dtype=np.int64)
         index, sign = numbers >> 4, 1 - 2 * (numbers & 1)
         place = index[term] if len(terms) else term
         signed = count * sign[term] if len(terms) else count
-        dense = np.bincount(row * self.dims + place % self.dims, weights=signed, minlength=len(texts) * self.dims).reshape(len(texts), self.dims)
+        dense = np.bincount(row * self.dims + place % self.dims, weights=signed, minlength=len(texts) * self.dims).astype(np.float64).reshape(len(texts), self.dims)
         dense = self._unit(dense, np.sqrt((dense**2).sum(axis=1)))
         # Terms that share an index are one entry of the sparse vector.
         keys, at = np.unique(row * (1 << 28) + place, return_inverse=True)

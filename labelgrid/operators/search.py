@@ -205,13 +205,17 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: f
     terms that a query asks for leave the counting step.
     """
     tokens = spread(docs.select("id", "text")).select("id", tx.search_tokens(F.col("text")).alias("tokens"))
-    size = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    n_docs, avg_len = size.first()
-    if not n_docs or not avg_len:
+    # One pass counts documents per term; the row without a term carries the number of documents and tokens.
+    whole = F.struct(F.lit(None).cast("string").alias("term"), F.size("tokens").alias("size"))
+    seen = F.transform(F.array_distinct("tokens"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("size")))
+    rows = tokens.select(F.explode(F.concat(F.array(whole), seen)).alias("x")).select("x.*")
+    counts = through_table(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("size").alias("size")), "term-counts")
+    total = counts.where("term is null").first()
+    if total is None or not total["size"]:
         raise ValueError("no text to score")
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_docs, avg_len = total["df"], total["size"] / total["df"]
+    df = counts.where("term is not null")
     raw = df.select("term", (F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    raw = through_table(raw, "idf")
     mean = raw.agg(F.avg("raw")).first()[0]
     idf = raw.select("term", F.when(F.col("raw") < 0, F.lit(eps * mean)).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("query_id", F.explode(tx.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
