@@ -135,8 +135,8 @@ def did_you_mean(inputs: DataFrame, catalog: DataFrame, taken: DataFrame | None
 def suggest(inputs: DataFrame, catalog: DataFrame, taken: DataFrame | None = None, limit: int = 12) -> DataFrame:
     """Drop-down list: labels started by the text, then similar ones, then those that contain it; by name.
 
-    A blank text gets the first labels. The class of a pair is settled once per
-    distinct text, the list is cut per input.
+    A blank text gets the first labels. Each distinct text is ranked and cut
+    once, so a text typed by many inputs costs them a dozen rows each.
     """
     typed, names = _sides(inputs, catalog)
     forms, known = typed.select("a").where("a <> ''").distinct(), names.select("b").where("b <> ''").distinct()
@@ -149,13 +149,15 @@ def suggest(inputs: DataFrame, catalog: DataFrame, taken: DataFrame | None = Non
         .unionByName(two.select("a", "b", F.lit(2).alias("class")))
         .groupBy("a", "b").agg(F.min("class").alias("class"))
     )
-    listed = typed.join(classed, "a").join(names, "b").select("input_id", "id", "name", "class")
-    # A blank text reads the catalogue's first rows: at most the limit plus what may be taken away again.
+    # What may be taken away again from one input, at most; a form keeps that many rows more.
     spare = 0 if taken is None else (taken.groupBy("input_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+    by_form = Window.partitionBy("a").orderBy("class", F.collate("name", "UNICODE"), "id")
+    heads = classed.join(names, "b").withColumn("place", F.row_number().over(by_form)).where(F.col("place") <= limit + spare)
+    listed = typed.join(heads, "a").select("input_id", "id", "name", "class", "place")
     first = names.orderBy("id").limit(limit + spare).select(F.collect_list(F.struct("id", "name")).alias("l"))
     blank = typed.where(is_blank(F.col("a"))).select("input_id").join(F.broadcast(first)).select("input_id", F.posexplode("l").alias("n", "x"))
-    listed = listed.withColumn("place", F.lit(0)).unionByName(blank.select("input_id", "x.id", "x.name", F.lit(0).alias("class"), F.col("n").alias("place")))
+    listed = listed.unionByName(blank.select("input_id", "x.id", "x.name", F.lit(0).alias("class"), F.col("n").alias("place")))
     if taken is not None:
         listed = listed.join(taken, ["input_id", "id"], "left_anti")
-    order = Window.partitionBy("input_id").orderBy("class", "place", F.collate("name", "UNICODE"), "id")
+    order = Window.partitionBy("input_id").orderBy("class", "place")
     return listed.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).drop("place")

@@ -209,12 +209,12 @@ def labels_for_items(t):
     return ca.labels_for_items(bridge(t), labels(t))
 
 
-@query("labels_for_open_items", sql("SELECT image_id, string_agg(name || ':' || id, '|' ORDER BY name, id) AS labels FROM bridge JOIN labels ON id = label_id WHERE is_active AND image_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY image_id"))
+@query("labels_for_open_items", sql("SELECT image_id, id, name, row_number() OVER (PARTITION BY image_id ORDER BY name, id) AS position FROM bridge JOIN labels ON id = label_id WHERE is_active AND image_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')"))
 def labels_for_open_items(t):
-    """Nested form for a set of asked items."""
+    """Labels of the asked items in name order, numbered per item; an item with very many labels is spread over tasks."""
     asked = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("image_id"))
-    nested = ca.nest_labels(ca.labels_for_items(bridge(t), labels(t), asked))
-    return nested.select("image_id", F.array_join(F.transform("labels", lambda l: F.concat_ws(":", l["name"], l["id"].cast("string"))), "|").alias("labels"))
+    rows = ca.labels_for_items(bridge(t), labels(t), asked).select("image_id", "id", "name")
+    return nu.number_in_group(rows, ["image_id"], ["name", "id"], "position")
 
 
 @query("item_detail", sql(""", nt AS (SELECT image_id, body FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY updated_at DESC, id DESC) AS r FROM latest) WHERE r = 1)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelgrid.functions import text as tx
 from labelgrid.functions import vectors as vec
 from labelgrid.operators import encode as en
+from labelgrid.operators.numbering import number_in_group
 from labelgrid.operators.search import segments_of
 from labelgrid.plans import sqltext as s
 from labelgrid.plans.registry import query
@@ -148,9 +148,9 @@ def valid_ids(t):
 @query("natural_order", """SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS position FROM supplier""")
 def natural_order(t):
     """File names with bare numbers in their natural order within a folder."""
-    named = t.supplier.withColumn("file", F.concat(F.lit("img"), F.col("s_suppkey").cast("string"), F.lit(".png")))
-    order = Window.partitionBy("s_nationkey").orderBy(*tx.natural_key(F.col("file")))
-    return named.select("s_suppkey", F.row_number().over(order).alias("position"))
+    named = t.supplier.select("s_suppkey", "s_nationkey", F.concat(F.lit("img"), F.col("s_suppkey").cast("string"), F.lit(".png")).alias("file"))
+    keyed = named.select("s_suppkey", "s_nationkey", *[k.alias(f"k{i}") for i, k in enumerate(tx.natural_key(F.col("file")))])
+    return number_in_group(keyed, ["s_nationkey"], ["k0", "k1", "k2"], "position").select("s_suppkey", "position")
 
 
 @query("unit_vectors", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS before, 1.0 AS after FROM embeddings")

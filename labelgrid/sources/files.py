@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelgrid.functions import text as tx
+from labelgrid.operators.numbering import number_in_group
 from labelgrid.sources import schemas
 
 
@@ -93,8 +94,9 @@ def numbered_folder(spark: SparkSession, glob: str) -> DataFrame:
     """Files of each folder in natural order, numbered ``folder_01``, ``folder_02``, ..."""
     files = spark.read.format("binaryFile").load(glob).select("path").where(F.col("path").rlike(IMAGE_FILES))
     rows = files.select(F.substring_index(F.substring_index("path", "/", -2), "/", 1).alias("folder"), F.substring_index("path", "/", -1).alias("filename"), "path")
-    place = F.row_number().over(Window.partitionBy("folder").orderBy(*tx.natural_key(F.col("filename"))))
-    return rows.select(F.format_string("%s_%02d", F.col("folder"), place).alias("item_id"), "folder", "filename", "path")
+    keyed = rows.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(tx.natural_key(F.col("filename")))])
+    placed = number_in_group(keyed, ["folder"], ["_k0", "_k1", "_k2"], "_place")
+    return placed.select(F.format_string("%s_%02d", "folder", "_place").alias("item_id"), "folder", "filename", "path")
 
 
 def build_corpus(expected: DataFrame, texts: DataFrame, files: DataFrame) -> DataFrame:
