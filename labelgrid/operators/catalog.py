@@ -240,6 +240,7 @@ def labels_by_notes(labels: DataFrame, bridge: DataFrame, notes: DataFrame, q: s
 def with_untagged_bucket(rows: DataFrame, untagged: DataFrame) -> DataFrame:
     """The label rows plus one for items without label, when there are any."""
     n = untagged.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    # Id, name, slug and colour of the bucket.
     bucket = n.select(F.lit(0).cast("long").alias("id"), F.lit("Sin Etiquetar").alias("name"), F.lit("sin-etiquetar").alias("slug"),
                       F.lit("#94a3b8").alias("color"), F.col("n").alias("note_match_count"), F.col("n").alias("image_count"))
     return rows.select(*bucket.columns).unionByName(bucket)
