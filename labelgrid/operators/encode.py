@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +52,12 @@ class HashingEncoder:
         return found
 
     def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        dense, sizes, places, weights = self.flat(texts)
+        cuts = np.cumsum(sizes)[:-1]
+        return list(zip(dense, np.split(places, cuts), np.split(weights, cuts)))
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Dense matrix, entries per text, and the sparse indices and weights of all texts in a row."""
         tokens = []
         for text in texts:
             text = text or ""
@@ -71,8 +78,7 @@ class HashingEncoder:
         rows, places = keys >> 28, (keys & ((1 << 28) - 1)).astype(np.int32)
         sizes = np.sqrt(np.bincount(rows, weights=weights**2, minlength=len(texts)))
         weights = (weights / sizes[rows]).astype(np.float32)
-        cuts = np.searchsorted(rows, np.arange(1, len(texts)))
-        return list(zip(dense, np.split(places, cuts), np.split(weights, cuts)))
+        return dense, np.bincount(rows, minlength=len(texts)), places, weights
 
     @staticmethod
     def _unit(matrix: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -103,8 +109,11 @@ def encode_column(
 ) -> DataFrame:
     """Add ``dense``, ``sparse_idx`` and ``sparse_w``; the encoder is loaded once per task.
 
-    Without ``batch`` the encoder's own batch size is taken, or 16 texts.
+    Without ``batch`` the encoder's own batch size is taken, or 16 texts. An
+    encoder with a ``flat`` method fills the Arrow columns without a list per text.
     """
+    if hasattr(load_encoder, "flat"):
+        return _encode_flat(df, column, load_encoder, attempts)
     schema = T.StructType(df.schema.fields + VECTORS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,6 +129,27 @@ def encode_column(
     return df.mapInPandas(run, schema)
 
 
+def _encode_flat(df: DataFrame, column: str, load_encoder: Callable, attempts: int) -> DataFrame:
+    schema = T.StructType(df.schema.fields + VECTORS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = with_retry(load_encoder().flat, attempts)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dense, sizes, places, weights = encode(batch.column(column).to_pylist())
+            starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            rows = np.arange(batch.num_rows + 1, dtype=np.int32) * dense.shape[1]
+            lists = [
+                pa.ListArray.from_arrays(rows, pa.array(dense.ravel(), pa.float32())),
+                pa.ListArray.from_arrays(starts, pa.array(places, pa.int32())),
+                pa.ListArray.from_arrays(starts, pa.array(weights, pa.float32())),
+            ]
+            yield pa.RecordBatch.from_arrays(batch.columns + lists, names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def generate_column(
     df: DataFrame, column: str, generate: Callable[[str], str], failed: Callable[[str], bool] | None = None
 ) -> DataFrame:

@@ -37,6 +37,7 @@ CELL_ROWS, PIVOTS = 4_000, 512
 SEED_PARTITIONS = 64
 SEED_SHARE = 100
 ANGLE_SLACK = 1e-6
+ROUNDING_SLACK = 2 * 10.0**-SCORE_DIGITS
 
 
 @dataclass
@@ -216,7 +217,8 @@ def _dense_tiles(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFr
                 # k pivots (one more when the query itself may be one) already score this much.
                 kth = -np.partition(-near, limits.k + spare - 1, axis=1)[:, limits.k + spare - 1]
                 floors = np.maximum(floors, kth)
-            reach = np.arccos(np.clip(floors, -1.0, 1.0))[:, None] + ANGLE_SLACK
+            # Scores are compared after rounding, so a hit may lie a little below its floor.
+            reach = np.arccos(np.clip(floors - ROUNDING_SLACK, -1.0, 1.0))[:, None] + ANGLE_SLACK
             visit = (np.arccos(near) - reach <= radius[None, :]) & (slices > 0)[None, :]
             q, cell = np.nonzero(visit)
             parts = slices[cell]

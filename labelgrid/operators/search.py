@@ -7,7 +7,7 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.functions import text as tx
@@ -15,7 +15,7 @@ from labelgrid.functions import vectors as vec
 from labelgrid.operators import ranking as rk
 from labelgrid.operators.encode import HashingEncoder, count_terms, encode_column
 from labelgrid.operators.scan import dense_search, sparse_search
-from labelgrid.session import rows_if_small, spread, through_table
+from labelgrid.session import rows_if_small, shared_folder, spread, through_table
 
 SEGMENT_SPAN = 1_000_000  # positions reserved for the segments of one item
 BRANCH_DEPTH = 1000  # segment hits each branch hands to the roll-up
@@ -24,10 +24,16 @@ BM25_DIGITS = 6
 SHIP_TERMS = 1_000_000
 
 
-def segments_of(items: DataFrame, mode: str = "both") -> DataFrame:
+def item_of(segment_id: Column) -> Column:
+    """The item a segment id belongs to."""
+    return ((segment_id - F.pmod(segment_id, F.lit(SEGMENT_SPAN))) / SEGMENT_SPAN).cast("long")
+
+
+def segments_of(items: DataFrame, mode: str = "both", text: str = "text") -> DataFrame:
     """``item_id, segment_id, segment_text``: the joined text and each of its lines."""
-    units = spread(items.select("item_id", "text")).select("item_id", F.posexplode(tx.line_units(F.col("text"), mode)).alias("pos", "segment_text"))
-    return units.select("item_id", (F.col("item_id") * SEGMENT_SPAN + F.col("pos")).alias("segment_id"), "segment_text")
+    units = spread(items.select("item_id", text)).select("item_id", F.posexplode(tx.line_units(F.col(text), mode)).alias("pos", "segment_text"))
+    within = F.when(F.col("pos") < SEGMENT_SPAN, F.col("pos")).otherwise(F.raise_error(F.lit("an item has too many segments")).cast("int"))
+    return units.select("item_id", (F.col("item_id") * SEGMENT_SPAN + within).alias("segment_id"), "segment_text")
 
 
 def segment_index(items: DataFrame, mode: str = "both", load_encoder=HashingEncoder) -> DataFrame:
@@ -35,6 +41,16 @@ def segment_index(items: DataFrame, mode: str = "both", load_encoder=HashingEnco
     return through_table(encode_column(segments_of(items, mode), "segment_text", load_encoder).drop("segment_text"), "segments")
 
 
+def segment_indexes(items: DataFrame, wanted: list[tuple[str, str]], load_encoder=HashingEncoder) -> dict[tuple[str, str], DataFrame]:
+    """One index per (text column, mode), encoded in one job into a table partitioned by index."""
+    parts = [segments_of(items, mode, column).withColumn("part", F.lit(at)) for at, (column, mode) in enumerate(wanted)]
+    encoded = encode_column(reduce(DataFrame.unionByName, parts), "segment_text", load_encoder).drop("segment_text")
+    path = shared_folder(items.sparkSession, "segment-indexes")
+    encoded.write.partitionBy("part").parquet(path)
+    table = items.sparkSession.read.schema(encoded.schema).parquet(path)
+    return {key: table.where(F.col("part") == at).drop("part") for at, key in enumerate(wanted)}
+
+
 def encode_queries(queries: DataFrame, load_encoder=HashingEncoder) -> DataFrame:
     return through_table(encode_column(queries.select("query_id", "text"), "text", load_encoder).drop("text"), "queries")
 
@@ -49,12 +65,12 @@ def _sparse_side(df: DataFrame, id_col: str, name: str) -> DataFrame:
 
 def dense_segments(queries: DataFrame, index: DataFrame, depth: int, min_score: float | None = None) -> DataFrame:
     hits = dense_search(_dense_side(queries, "query_id", "query_id"), _dense_side(index, "segment_id", "id"), depth, min_score)
-    return hits.withColumn("item_id", F.floor(F.col("id") / SEGMENT_SPAN))
+    return hits.withColumn("item_id", item_of(F.col("id")))
 
 
 def sparse_segments(queries: DataFrame, index: DataFrame, depth: int, min_score: float | None = None) -> DataFrame:
     hits = sparse_search(_sparse_side(queries, "query_id", "query_id"), _sparse_side(index, "segment_id", "id"), depth, min_score)
-    return hits.withColumn("item_id", F.floor(F.col("id") / SEGMENT_SPAN))
+    return hits.withColumn("item_id", item_of(F.col("id")))
 
 
 def dense_branch(queries: DataFrame, index: DataFrame, depth: int = BRANCH_DEPTH, min_score: float | None = None) -> DataFrame:
@@ -83,11 +99,9 @@ def run_systems(queries: DataFrame, items: DataFrame, specs: dict[str, tuple[str
     share a text column and mode share one index.
     """
     encoded = encode_queries(queries, load_encoder)
-    indexes: dict[tuple[str, str], DataFrame] = {}
+    indexes = segment_indexes(items, sorted({(column, mode) for column, mode, _ in specs.values()}), load_encoder)
     runs = []
     for system, (column, mode, hybrid) in specs.items():
-        if (column, mode) not in indexes:
-            indexes[column, mode] = segment_index(items.select("item_id", F.col(column).alias("text")), mode, load_encoder)
         index = indexes[column, mode]
         if hybrid:
             run = hybrid_search(encoded, index, n=n)
@@ -125,7 +139,7 @@ def hybrid_rescore(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFra
     shared = sparse_segments(queries, index, 3 * k).select("query_id", "id")
     pairs = near.unionByName(shared).distinct()
     scored = score_pairs(pairs, _dense_side(queries, "query_id", "query_id"), _dense_side(index, "segment_id", "id"))
-    top = rk.topk(scored, k, ["query_id"]).withColumn("item_id", F.floor(F.col("id") / SEGMENT_SPAN))
+    top = rk.topk(scored, k, ["query_id"]).withColumn("item_id", item_of(F.col("id")))
     return rk.best_score(top.drop("rank"), ["query_id"], k)
 
 
