@@ -22,15 +22,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Ranked hits are few bytes but much work: do not merge them into one task.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", conf.pop("driver_memory", "12g"))
     )
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # One partition per core as asked: ranked hits are few bytes but much work, so AQE shall not merge them.
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).config("spark.sql.adaptive.coalescePartitions.enabled", "false")
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
