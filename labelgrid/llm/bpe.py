@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from labelgrid.llm.common import Block, id_and_text, map_texts
+from labelgrid.llm.common import Block, Memo, id_and_text, map_texts
 
 # The pre-tokenizing pattern of the byte-level vocabulary (fixed values), with the blanks of Unicode spelled out.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -69,8 +69,7 @@ class ByteBpe:
         self.lengths = np.array([len(x) for x in self.token_bytes], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
-        self.cache: dict[str, bytes | None] = {}
-        self.units: dict[str, bytes] = {}
+        self.cache, self.units = Memo(CACHE), Memo(CACHE)
 
     # -- merging -----------------------------------------------------------------------------------------------
 
@@ -202,18 +201,13 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(self.units) > CACHE:
-            self.units.clear()
         cut = []
         for text in texts:
             first, *rest = text.replace("\n", " \n").split(" ")
             # The start has no blank before it; no other piece begins with two newlines.
             cut.append(["\n\n" + first, *rest])
-        missing = set().union(*cut).difference(self.cache)
         plain: dict[str, list[str | int] | None] = {}
-        for piece in missing:
+        for piece in self.cache.missing(cut):
             if piece[:2] == "\n\n":
                 body, lead = piece[2:], ""
             elif piece[:1] == "\n":
@@ -224,7 +218,7 @@ class ByteBpe:
                 plain[piece] = None
             else:
                 plain[piece] = self._cut(lead + body)
-        self._learn({u for c in plain.values() if c for u in c if isinstance(u, str) and u not in self.units})
+        self._learn(self.units.missing([[u for u in c if isinstance(u, str)] for c in plain.values() if c]))
         for piece, c in plain.items():
             self.cache[piece] = None if c is None else self._ids(c)
         out, get = [], self.cache.get
@@ -233,7 +227,7 @@ class ByteBpe:
                 out.append(b"".join(map(get, pieces)))
             except TypeError:
                 whole = self._cut(text)
-                self._learn({u for u in whole if isinstance(u, str) and u not in self.units})
+                self._learn(self.units.missing([[u for u in whole if isinstance(u, str)]]))
                 out.append(self._ids(whole))
         return out
 

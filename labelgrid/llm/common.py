@@ -7,6 +7,7 @@ follows the longest document and never the number of rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +179,24 @@ def map_texts(df: DataFrame, fn: Callable[[Block, pa.RecordBatch], dict | None],
     return df.mapInArrow(run, schema)
 
 
+class Memo(dict):
+    """Bounded memory of worked-out pieces: two generations, so what is used goes on and the rest is let go."""
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.old = bound, {}
+
+    def missing(self, lists: list[list[str]]) -> set[str]:
+        """Pieces of the lists that are in neither generation; used ones of the older move to the younger."""
+        if len(self) > self.bound:
+            self.old = dict(self)
+            self.clear()
+        lacking = set(filterfalse(self.__contains__, chain.from_iterable(lists)))
+        known = lacking & self.old.keys()
+        self.update(zip(known, map(self.old.__getitem__, known)))
+        return lacking - known
+
+
 def digest(data: bytes) -> bytes:
     """128-bit content key of a text or a line."""
     return xxhash.xxh3_128_digest(data)
@@ -204,6 +223,6 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 __all__ = [
-    "BLANKS", "BLOCK", "Block", "MARKS", "Words", "blocks_of", "digest", "grams", "id_and_text", "map_texts",
+    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "Words", "blocks_of", "digest", "grams", "id_and_text", "map_texts",
     "merge_spans", "mix", "sliding", "text_keys", "through_table",
 ]

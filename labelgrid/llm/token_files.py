@@ -29,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.common import blocks_of, id_and_text
+from labelgrid.llm.common import Memo, blocks_of, id_and_text
 from labelgrid.session import shared_folder, ship_package
 
 BLOCK_IDS = 2 << 20
 SAMPLE = 256
 CACHE = 300_000
+# Signs to set between pieces; the first that the tokenizer turns into one id is taken.
+MARKS = "~^\\`}{"
 
 
 class EliasFano:
@@ -146,21 +148,48 @@ class Encoder:
             and not re.search(r"\s|\\s|\(\?|\.", classes)
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
         )
-        self.cache: dict[str, bytes] = {"": b""}
+        steps = spec.get("normalizer") or {}
+        lowers = any(x.get("type") == "Lowercase" for x in steps.get("normalizers") or [steps])
+        # Letters are lowered, and a run of letters is a pretoken of its own: "Word," has the ids of "word" and of ",".
+        self.plain = self.parted and lowers and r"[\p{L}]+|" in (first.get("pattern") or {}).get("Regex", "")
+        self.pieces, self.cores = Memo(CACHE), Memo(CACHE)
+        # Parts pieces in one text: a mark that is a pretoken of one id.
+        self.mark = next((m for m in MARKS if len(self._ids([m])[0]) == 4), None) if self.parted else None
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _split_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, all encoded as one text with marks between them; no piece holds the mark."""
+        packed = self._ids([f" {self.mark} ".join(pieces)])[0]
+        mark = np.flatnonzero(np.frombuffer(packed, "<u4") == np.frombuffer(self._ids([self.mark])[0], "<u4")) * 4
+        return [packed[a:b] for a, b in zip([0, *(mark + 4).tolist()], [*mark.tolist(), len(packed)])]
+
+    def _core(self, piece: str) -> tuple[str, str]:
+        """A piece without a point or comma after a letter, lowered if it is of ASCII letters; and that sign."""
+        tail = ""
+        if self.plain and piece[-1:] in (",", ".") and piece[-2:-1].lower().isalpha():
+            piece, tail = piece[:-1], piece[-1]
+        if self.plain and piece.isascii() and piece.isalpha():
+            piece = piece.lower()
+        return piece, tail
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed unsigned 32-bit integers."""
         if not self.parted:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.cache) > CACHE:
-            self.cache = {"": b""}
+            return self._ids(texts)
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list(set().union(*pieces).difference(self.cache))
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            made = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.cache.update((piece, np.array(e.ids, "<u4").tobytes()) for piece, e in zip(some, made))
-        get = self.cache.__getitem__
+        cut = {piece: self._core(piece) for piece in self.pieces.missing(pieces)}
+        lacking = self.cores.missing([[core for core, _ in cut.values()], [",", "."]])
+        apart = [c for c in lacking if self.mark is None or self.mark in c]
+        for i in range(0, len(apart), 4096):
+            self.cores.update(zip(apart[i : i + 4096], self._ids(apart[i : i + 4096])))
+        whole = list(lacking.difference(apart))
+        for i in range(0, len(whole), 4096):
+            self.cores.update(zip(whole[i : i + 4096], self._split_ids(whole[i : i + 4096])))
+        ids = self.cores
+        self.pieces.update((piece, ids[core] + ids[tail] if tail else ids[core]) for piece, (core, tail) in cut.items())
+        get = self.pieces.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
 
