@@ -203,6 +203,8 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
 
     answers = stream.mapInArrow(answer, "name binary, high bigint, low bigint")
     answers = answers.groupBy("name").agg(F.collect_set(F.struct("high", "low")).alias("line_often"))
+    # Read from a table, so that the join deals both sides itself and may split a text of very many copies.
+    answers = through_table(answers, "line-answers")
 
     named = docs.withColumn("line_name", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     joined = named.join(answers.withColumnRenamed("name", "line_name"), "line_name", "left")
