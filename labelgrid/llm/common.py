@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from labelgrid.session import ship_package, through_table
 
 BLOCK = 2 << 20
+BATCH = 8 << 20
 
 # Blank characters of the contracts: the space and \x09-\x0D.
 BLANKS = np.zeros(256, bool)
@@ -165,9 +166,18 @@ def blocks_of(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK) -
         first = last
 
 
+def small_batches(df: DataFrame) -> None:
+    """Ship the package, and let no batch of rows to a worker exceed ``BATCH`` bytes, whatever the length of the texts."""
+    spark = df.sparkSession
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b"):
+        spark.conf.set(name, str(BATCH))
+
+
 def map_texts(df: DataFrame, fn: Callable[[Block, pa.RecordBatch], dict | None], schema: str, column: str = "text") -> DataFrame:
     """Run ``fn`` over blocks of texts; it gets the block and its rows and returns arrays by column name."""
-    ship_package(df.sparkSession)
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,6 +185,7 @@ def map_texts(df: DataFrame, fn: Callable[[Block, pa.RecordBatch], dict | None],
                 made = fn(block, batch.slice(rows.start, rows.stop - rows.start))
                 if made is not None:
                     yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

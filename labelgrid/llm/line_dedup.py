@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.common import LOWER, Block, map_texts, mix, through_table
-from labelgrid.session import ship_package
+from labelgrid.llm.common import LOWER, Block, map_texts, mix, small_batches, through_table
 
 MIN_DOCS, MIN_CHARS = 10, 1
 SHARD = 1 << 17
@@ -147,7 +146,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     """
     docs = docs.drop("line_count", "line_dropped")
     spark = docs.sparkSession
-    ship_package(spark)
+    small_batches(docs)
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
     def keys(block: Block, rows: pa.RecordBatch) -> dict:
@@ -231,6 +230,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
                 [batch.column("line_row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())],
                 names=["line_row", "text", "line_count", "line_dropped"],
             )
+            pa.default_memory_pool().release_unused()
 
     others = [c for c in docs.columns if c != "text"]
     packed = joined.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("line_row"), F.col("text").cast("string").alias("line_text"), "line_often")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.common import Memo, blocks_of, id_and_text
+from labelgrid.llm.common import BLANKS, Block, Memo, Words, blocks_of, id_and_text, small_batches
 from labelgrid.session import shared_folder, ship_package
 
 BLOCK_IDS = 2 << 20
@@ -152,7 +152,9 @@ class Encoder:
         lowers = any(x.get("type") == "Lowercase" for x in steps.get("normalizers") or [steps])
         # Letters are lowered, and a run of letters is a pretoken of its own: "Word," has the ids of "word" and of ",".
         self.plain = self.parted and lowers and r"[\p{L}]+|" in (first.get("pattern") or {}).get("Regex", "")
-        self.pieces, self.cores = Memo(CACHE), Memo(CACHE)
+        self.plain = self.plain and not any(t["content"][-1:] in ",." for t in spec["added_tokens"])
+        self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
+        self.pieces = Memo(CACHE)
         # Parts pieces in one text: a mark that is a pretoken of one id.
         self.mark = next((m for m in MARKS if len(self._ids([m])[0]) == 4), None) if self.parted else None
 
@@ -165,32 +167,71 @@ class Encoder:
         mark = np.flatnonzero(np.frombuffer(packed, "<u4") == np.frombuffer(self._ids([self.mark])[0], "<u4")) * 4
         return [packed[a:b] for a, b in zip([0, *(mark + 4).tolist()], [*mark.tolist(), len(packed)])]
 
-    def _core(self, piece: str) -> tuple[str, str]:
-        """A piece without a point or comma after a letter, lowered if it is of ASCII letters; and that sign."""
-        tail = ""
-        if self.plain and piece[-1:] in (",", ".") and piece[-2:-1].lower().isalpha():
-            piece, tail = piece[:-1], piece[-1]
-        if self.plain and piece.isascii() and piece.isalpha():
-            piece = piece.lower()
-        return piece, tail
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed unsigned 32-bit integers."""
+        raw = [t.encode() for t in texts]
+        ids, counts = self.encode_block(Block(b"".join(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(texts) else []
+
+    def encode_block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a block in a row, and the number of each text."""
         if not self.parted:
-            return self._ids(texts)
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        cut = {piece: self._core(piece) for piece in self.pieces.missing(pieces)}
-        lacking = self.cores.missing([[core for core, _ in cut.values()], [",", "."]])
-        apart = [c for c in lacking if self.mark is None or self.mark in c]
-        for i in range(0, len(apart), 4096):
-            self.cores.update(zip(apart[i : i + 4096], self._ids(apart[i : i + 4096])))
-        whole = list(lacking.difference(apart))
-        for i in range(0, len(whole), 4096):
-            self.cores.update(zip(whole[i : i + 4096], self._split_ids(whole[i : i + 4096])))
-        ids = self.cores
-        self.pieces.update((piece, ids[core] + ids[tail] if tail else ids[core]) for piece, (core, tail) in cut.items())
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+            made = self._ids([block.text(i).decode() for i in range(len(block))])
+            return np.frombuffer(b"".join(made), "<u4"), np.array([len(m) // 4 for m in made], np.int64)
+        # Lowered letters may not make a special token of what is none.
+        low = block.lowered() if self.plain else block
+        if low is not block and any(s in low.data for s in self.special):
+            low = block
+        words = low.words(BLANKS)
+        start, end = words.start, words.end
+        stop = np.zeros(len(start), np.int64)
+        if self.plain and len(start):
+            last = low.view[end - 1]
+            cut = (end - start > 1) & ((last == 0x2C) | (last == 0x2E)) & _LETTER[low.view[end - 2]]
+            stop = np.where(cut, np.where(last == 0x2C, 1, 2), 0)
+            end = end - cut
+        order, fresh = _groups(Words(low, start, end, words.at).hashes())
+        number = np.empty(len(start), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        chosen = order[fresh]
+        data = low.data
+        pieces = [data[a:b] for a, b in zip(start[chosen].tolist(), end[chosen].tolist())]
+        self._learn(self.pieces.missing([pieces, [b",", b"."]]))
+        made = [*map(self.pieces.__getitem__, pieces), self.pieces[b","], self.pieces[b"."]]
+        flat, sizes = np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), np.int64, len(made)) // 4
+        # The sign behind a word is a unit of its own.
+        tails = np.cumsum(stop > 0)
+        units = np.empty(len(start) + (int(tails[-1]) if len(tails) else 0), np.int64)
+        place = np.arange(len(start)) + tails
+        units[place - (stop > 0)] = number
+        units[place[stop > 0]] = len(pieces) + stop[stop > 0] - 1
+        lengths = sizes[units]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.arange(int(ends[-1])) + np.repeat((np.cumsum(sizes) - sizes)[units] - ends[:-1], lengths)]
+        bounds = words.at + np.concatenate([[0], tails])[words.at]
+        return ids, np.diff(ends[bounds])
+
+    def _learn(self, lacking: set[bytes]) -> None:
+        """Encode pieces and keep their ids."""
+        texts = {piece: piece.decode() for piece in lacking}
+        apart = [p for p, t in texts.items() if self.mark is None or self.mark in t]
+        whole = [p for p in texts if self.mark is not None and self.mark not in texts[p]]
+        for some, encode in ((apart, self._ids), (whole, self._split_ids)):
+            for i in range(0, len(some), 8192):
+                part = some[i : i + 8192]
+                self.pieces.update(zip(part, encode([texts[p] for p in part])))
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal values together, and where each group begins in it."""
+    order = np.argsort(values)
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[order[1:]] != values[order[:-1]]
+    return order, fresh
 
 
 _encoders: dict[str, Encoder] = {}
@@ -204,7 +245,7 @@ def _encoder(path: str) -> Encoder:
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1) -> None:
     """Write the ids of every text, closed by ``end_id``, in ascending doc_id order below ``folder``."""
-    ship_package(docs.sparkSession)
+    small_batches(docs)
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
     rows = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
@@ -225,11 +266,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
         for batch in batches:
             for at, block in blocks_of(batch):
-                made = _encoder(tokenizer_path).encode([block.text(i).decode() for i in range(len(block))])
-                for name, ids in zip(batch.column("doc_id")[at].to_pylist(), made):
+                ids, counts = _encoder(tokenizer_path).encode_block(block)
+                raw, ends = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
+                for name, a, b in zip(batch.column("doc_id")[at].to_pylist(), [0, *ends], ends):
                     names.append(name)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
+                    held.append(raw[a:b] + end)
+                    size += (b - a) // 4 + 1
                     if size >= BLOCK_IDS:
                         yield flush()
                         before, number, names, held, size = before + size, number + 1, [], [], 0
