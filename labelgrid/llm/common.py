@@ -11,7 +11,6 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,13 +174,13 @@ def small_batches(df: DataFrame) -> None:
         spark.conf.set(name, str(BATCH))
 
 
-def map_texts(df: DataFrame, fn: Callable[[Block, pa.RecordBatch], dict | None], schema: str, column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[Block, pa.RecordBatch], dict | None], schema: str, column: str = "text", limit: int = BLOCK) -> DataFrame:
     """Run ``fn`` over blocks of texts; it gets the block and its rows and returns arrays by column name."""
     small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, block in blocks_of(batch, column):
+            for rows, block in blocks_of(batch, column, limit):
                 made = fn(block, batch.slice(rows.start, rows.stop - rows.start))
                 if made is not None:
                     yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
@@ -208,15 +207,6 @@ class Memo(dict):
         return lacking - known
 
 
-def digest(data: bytes) -> bytes:
-    """128-bit content key of a text or a line."""
-    return xxhash.xxh3_128_digest(data)
-
-
-def text_keys(block: Block) -> list[bytes]:
-    return [digest(block.text(i)) for i in range(len(block))]
-
-
 def id_and_text(docs: DataFrame) -> DataFrame:
     """The two columns that operators read, whatever else the table carries."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -234,6 +224,6 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 __all__ = [
-    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "Words", "blocks_of", "digest", "grams", "id_and_text", "map_texts",
-    "merge_spans", "mix", "sliding", "text_keys", "through_table",
+    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "Words", "blocks_of", "grams", "id_and_text", "map_texts",
+    "merge_spans", "mix", "sliding", "small_batches", "through_table",
 ]
