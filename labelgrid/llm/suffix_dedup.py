@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from labelgrid.llm.common import BLOCK, blocks_of, id_and_text, small_batches
 from labelgrid.llm.superstrings import BUCKET, HOT_LEAST, byte_runs, byte_windows, repeated, spans_of, with_parts
 
-SIZE, GRAM = 400, 24
+SIZE, GRAM = 400, 64
 SEED = 7
 
 
