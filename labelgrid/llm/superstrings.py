@@ -54,6 +54,11 @@ def _cut(values: np.ndarray, whole: np.ndarray, reach: int) -> tuple[np.ndarray,
     return windows[at], np.diff(np.append(at, len(windows))), own[at].astype(np.int64)
 
 
+def _spread(least: np.ndarray) -> np.ndarray:
+    """Least hashes lie at the low end; scrambled once more they fill the bit map evenly."""
+    return mix(least + np.uint64(0x9E3779B97F4A7C15))
+
+
 def byte_runs(block: Block, size: int, gram: int) -> Runs:
     total, inverse = block.prefix_hash()
     n = max(0, len(block.view) - gram + 1)
@@ -63,7 +68,7 @@ def byte_runs(block: Block, size: int, gram: int) -> Runs:
     doc = np.searchsorted(block.at, first, "right") - 1
     end = (first + wins + size - 1).tolist()
     start, data = first.tolist(), block.data
-    return Runs(doc, first - block.at[doc], wins, values[place], lambda i: data[start[i] : end[i]])
+    return Runs(doc, first - block.at[doc], wins, _spread(values[place]), lambda i: data[start[i] : end[i]])
 
 
 def word_runs(block: Block, size: int, gram: int) -> Runs:
@@ -80,7 +85,7 @@ def word_runs(block: Block, size: int, gram: int) -> Runs:
     def pack(i: int) -> bytes:
         return data[start[i] : end[i]] if single[i] else b" ".join(data[start[i] : end[i]].split())
 
-    return Runs(doc, first - words.at[doc], wins, values[place], pack)
+    return Runs(doc, first - words.at[doc], wins, _spread(values[place]), pack)
 
 
 def byte_windows(packed: bytes, size: int) -> list[bytes]:
