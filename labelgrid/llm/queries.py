@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrid.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup, token_files
+from labelgrid.llm import bpe, classifier, decontaminate, licenses, line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +59,16 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.classify(table(spark, folder, "documents"), classifier.ratings(table(spark, folder, "labels")))
+
+
+@query("op7_license_scan")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
