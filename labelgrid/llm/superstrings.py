@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from labelgrid.llm.common import BLANKS, BLOCK, Block, grams, id_and_text, map_texts, merge_spans, mix, sliding, small_batches, through_table
 
 MAP_BITS, SLICE_BITS = 25, 20
-HOT_LEAST, HOT_KEYS = 5000, 1 << 16
+HOT_LEAST, HOT_KEYS = 1000, 1 << 16
 BUCKET = 8 << 20
 _SPACED = bytes(0x20 if BLANKS[c] else c for c in range(256))
 
