@@ -29,14 +29,15 @@ SEED = 7
 def bounded_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix order by ``depth`` symbols or more, the first ranks (by ``SEED`` symbols) and which suffixes they leave alone.
 
-    A symbol of 0 ends a string: a prefix that holds one equals no other.
+    A symbol of 0 ends a string: a prefix that holds one equals no other, and of prefixes equal up to there the earlier comes
+    first, so that putting one symbol before two suffixes never changes their order.
     """
     n = len(symbols)
     padded = np.concatenate([symbols, np.zeros(SEED, symbols.dtype)]).astype(np.int64)
     key, closed = np.zeros(n, np.int64), np.zeros(n, bool)
     for j in range(SEED):
-        key = key << 9 | padded[j : j + n]
         closed |= padded[j : j + n] == 0
+        key = key << 9 | np.where(closed, 0, padded[j : j + n])
     order = np.argsort(key, kind="stable")
     key, shut = key[order], closed[order]
     fresh = np.ones(n, bool)
