@@ -134,7 +134,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model |
             "share": pa.array([x.astype("<f8").tobytes() for x in f.share], pa.binary()),
         }
 
-    rows = map_texts(texts, run, "grade int, bucket binary, share binary").orderBy("grade", "bucket").collect()
+    # At most ``sample`` rows; sorted, so that sums of floating-point numbers do not depend on the order of tasks.
+    rows = sorted(map_texts(texts, run, "grade int, bucket binary, share binary").collect(), key=lambda r: (r["grade"], r["bucket"], r["share"]))
     grade = np.array([r["grade"] for r in rows], np.int64)
     if len(np.unique(grade)) < 2:
         return None
@@ -145,22 +146,33 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model |
 
 def classify(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """doc_id, score, expected_grade, tail_probability and kept of every row."""
-    model = train(docs, ratings, sample)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, ratings, sample))
+    schema = "doc_id bigint, score double, expected_grade double, tail_probability double, kept boolean"
+    return map_texts(id_and_text(docs), lambda block, rows: {"doc_id": rows.column("doc_id")} | _verdict(block, shared.value, keep), schema)
 
-    def run(block: Block, rows: pa.RecordBatch) -> dict:
-        f, fitted = features(block), shared.value
-        some = f.number > 0
-        if fitted is None:
-            none = pa.nulls(len(some), pa.float64())
-            return {"doc_id": rows.column("doc_id"), "score": none, "expected_grade": none, "tail_probability": none, "kept": pa.array(some)}
-        value, expected, tail = score(f, fitted)
-        return {
-            "doc_id": rows.column("doc_id"), "score": pa.array(np.where(some, value, 0.0)), "expected_grade": pa.array(np.where(some, expected, 0.0)),
-            "tail_probability": pa.array(np.where(some, tail, 0.0)), "kept": pa.array(some & (tail >= keep)),
-        }
 
-    return map_texts(id_and_text(docs), run, "doc_id bigint, score double, expected_grade double, tail_probability double, kept boolean")
+def keep_good(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+    """Rows of ``docs`` that ``classify`` keeps, with all their columns, filtered where they lie."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, ratings, sample))
+
+    def run(block: Block, rows: pa.RecordBatch) -> dict:
+        good = rows.filter(_verdict(block, shared.value, keep)["kept"])
+        return dict(zip(good.schema.names, good.columns))
+
+    return map_texts(docs, run, docs.schema)
+
+
+def _verdict(block: Block, model: Model | None, keep: float) -> dict:
+    f = features(block)
+    some = f.number > 0
+    if model is None:
+        none = pa.nulls(len(some), pa.float64())
+        return {"score": none, "expected_grade": none, "tail_probability": none, "kept": pa.array(some)}
+    value, expected, tail = score(f, model)
+    return {
+        "score": pa.array(np.where(some, value, 0.0)), "expected_grade": pa.array(np.where(some, expected, 0.0)),
+        "tail_probability": pa.array(np.where(some, tail, 0.0)), "kept": pa.array(some & (tail >= keep)),
+    }
 
 
 def ratings(labels: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from labelgrid.session import ship_package, through_table
 
@@ -174,7 +175,7 @@ def small_batches(df: DataFrame) -> None:
         spark.conf.set(name, str(BATCH))
 
 
-def map_texts(df: DataFrame, fn: Callable[[Block, pa.RecordBatch], dict | None], schema: str, column: str = "text", limit: int = BLOCK) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[Block, pa.RecordBatch], dict | None], schema: str | StructType, column: str = "text", limit: int = BLOCK) -> DataFrame:
     """Run ``fn`` over blocks of texts; it gets the block and its rows and returns arrays by column name."""
     small_batches(df)
 

@@ -266,3 +266,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     of = known.join(ids, "root").select("fp", "component_id")
     return docs.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, bucket_size: int = BUCKET) -> DataFrame:
+    """Rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, once.
+
+    Ids to drop are sent to the texts, as they are the few. A row without a doc_id cannot be named and stays.
+    """
+    groups = through_table(near_duplicates(docs, shingle, distance, bucket_size), "near-duplicates")
+    drop = through_table(groups.where("doc_id <> component_id").select("doc_id").distinct(), "later-copies")
+    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
