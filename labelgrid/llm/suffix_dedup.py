@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from labelgrid.llm.common import BLOCK, blocks_of, id_and_text, small_batches
-from labelgrid.llm.superstrings import BUCKET, HOT_LEAST, byte_runs, byte_windows, repeated, spans_of, with_parts
+from labelgrid.llm.superstrings import BUCKET, byte_runs, byte_windows, repeated, spans_of, with_parts
 
 SIZE, GRAM = 400, 64
 SEED = 7
+# Dealing a string of bytes by window costs a row for each byte, so only very large buckets are dealt so.
+HOT_LEAST = 5000
 
 
 def bounded_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
