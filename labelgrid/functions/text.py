@@ -216,7 +216,6 @@ def card_summary(brief: Column, html: Column, width: int = 160) -> Column:
 
 # Tags a note may keep; fixed by the note format.
 NOTE_TAGS = "p|br|strong|b|em|i|u|s|ol|ul|li|a|h1|h2|h3|blockquote"
-BARE_TAGS = "p|br|strong|b|em|i|u|s|ol|ul|li|h1|h2|h3|blockquote"
 
 
 def strip_tags(c: Column, keep: str | None = None) -> Column:
@@ -226,18 +225,52 @@ def strip_tags(c: Column, keep: str | None = None) -> Column:
     return F.regexp_replace(text, rf"(?is)<{names}[/!?a-z][^>]*>", "")
 
 
+# Where a link of a note may lead; fixed by the note format.
+SAFE_TARGETS = r"(?i)^(?:https?://|mailto:|/|#)[^\x00-\x20]*$"
+# Entities that a link target is freed of before it is judged, and which it gets again.
+ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
+
+def _safe_link(attributes: Column) -> Column:
+    """An opening link tag built anew, with its target if that is safe."""
+    quoted = [F.regexp_extract(attributes, rf"(?is)(?:^|[\s/\"'])href\s*=\s*{form}", 1) for form in ('"([^"]*)"', "'([^']*)'", "([^\\s>\"']+)")]
+    target = strip(F.coalesce(*[F.nullif(q, F.lit("")) for q in quoted], F.lit("")))
+    for entity, sign in [("&apos;", "'"), ("&#039;", "'"), *ENTITIES]:
+        target = F.replace(target, F.lit(entity), F.lit(sign))
+
+    def tag(plain: Column) -> Column:
+        # What is still an entity might hide anything; such a target is dropped.
+        safe = plain.rlike(SAFE_TARGETS) & ~plain.rlike(r"&#|&\w+;")
+        escaped = plain
+        for entity, sign in reversed(ENTITIES):
+            escaped = F.replace(escaped, F.lit(sign), F.lit(entity))
+        return F.when(safe, F.concat(F.lit('<a href="'), escaped, F.lit('">'))).otherwise("<a>")
+
+    return let(target, tag)
+
+
 def clean_note(c: Column) -> Column:
-    """Allow-listed tags without attributes; links keep an ``href`` that is not a script."""
-    text = strip_tags(c, NOTE_TAGS)
-    text = F.regexp_replace(text, r"(?iu)\s+(?:on\w+|style|formaction)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
-    quoted = r"(?is)<a\s+[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))[^>]*>"
-    # Links are first put in the form <a href="..."> with the target alone, then unsafe targets are dropped.
-    text = F.regexp_replace(text, quoted, "<a href=\"$1$2$3\">")
-    text = F.regexp_replace(text, r"(?is)<a\s+(?!href=\")[^>]*>", "<a>")
-    safe = r"\s*(?:https?://|mailto:|/|#|\")"
-    text = F.regexp_replace(text, rf"(?is)<a href=\"(?!{safe})[^\"]*\">", "<a>")
-    text = F.regexp_replace(text, rf"(?is)<({BARE_TAGS})\s+[^>]*>", "<$1>")
-    return strip(text)
+    """Allow-listed tags, each written anew from its name; links keep a target that is safe.
+
+    The text is cut into tags and text between. Other tags and comments go, an unclosed tag goes up to the next one,
+    and a ``<`` that opens no tag is escaped.
+    """
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)<!--.*?(?:-->|\z)", "")
+    piece = r"(?is)<[/!?a-z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[/!?a-z][^<]*|<|[^<]+"
+    name = lambda p: F.lower(F.regexp_extract(p, rf"(?is)^</?({NOTE_TAGS})(?=[\s/>]).*>$", 1))
+
+    def written(p: Column) -> Column:
+        inside = F.regexp_extract(p, r"(?is)^<a([\s/].*)?>$", 1)
+        return (
+            F.when(~p.startswith("<"), p)
+            .when(p == "<", F.lit("&lt;"))
+            .when(name(p) == "", F.lit(""))
+            .when(p.startswith("</"), F.concat(F.lit("</"), name(p), F.lit(">")))
+            .when(name(p) == "a", _safe_link(inside))
+            .otherwise(F.concat(F.lit("<"), name(p), F.lit(">")))
+        )
+
+    return strip(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(piece), 0), written), ""))
 
 
 def note_is_empty(c: Column) -> Column:
@@ -253,16 +286,11 @@ def clean_model_text(c: Column) -> Column:
     bare = strip(F.regexp_replace(raw, r"```(?:json|markdown)?\s*", ""))
 
     def from_reply(clean: Column) -> Column:
-        fields = F.from_json(clean, "map<string,string>")
-        # Only members that are JSON strings count: the quoted form is what distinguishes "7" from 7.
-        quoted = F.transform(
-            F.json_object_keys(clean),
-            lambda k: F.when(
-                F.rlike(clean, F.concat(F.lit('"'), F.regexp_replace(k, r"([^\p{L}\p{N}_ ])", r"\\$1"), F.lit('"\\s*:\\s*"'))),
-                F.element_at(fields, k),
-            ),
-        )
-        values = F.filter(quoted, lambda v: v.isNotNull() & ~is_blank(v))
+        # Top-level members that are JSON strings; of a repeated key the last one.
+        members = F.map_entries(F.from_json(clean, "map<string,variant>"))
+        last = F.filter(members, lambda m, i: ~F.exists(F.slice(members, i + 2, F.size(members)), lambda n: n["key"] == m["key"]))
+        strings = F.filter(last, lambda m: F.schema_of_variant(m["value"]) == "STRING")
+        values = F.filter(F.transform(strings, lambda m: F.variant_get(m["value"], "$", "string")), lambda v: ~is_blank(v))
         pairs = F.filter(
             F.transform(F.regexp_extract_all(clean, F.lit(r'"[^"]+"\s*:\s*"([^"]*)"'), 1), strip), lambda v: v != ""
         )
@@ -359,9 +387,11 @@ LOG_LIMITS = {"user_email": 255, "action": 80, "path": 255, "user_agent": 512}
 
 
 def client_details(c: Column) -> Column:
-    """JSON of the non-blank known keys, each cut at 120 characters, or null."""
-    parsed = F.from_json(c, T.StructType([T.StructField(k, T.StringType()) for k in CLIENT_KEYS]))
-    fields = [F.substring(F.nullif(strip(parsed[k]), F.lit("")), 1, 120).alias(k) for k in CLIENT_KEYS]
+    """JSON of the non-blank known keys with plain values, each cut at 120 characters, or null."""
+    read = lambda kind: F.from_json(c, T.StructType([T.StructField(k, kind) for k in CLIENT_KEYS]))
+    parsed, objects, lists = read(T.StringType()), read(T.MapType(T.StringType(), T.StringType())), read(T.ArrayType(T.StringType()))
+    plain = {k: F.when(objects[k].isNull() & lists[k].isNull(), strip(parsed[k])) for k in CLIENT_KEYS}
+    fields = [F.substring(F.nullif(plain[k], F.lit("")), 1, 120).alias(k) for k in CLIENT_KEYS]
     return F.nullif(F.to_json(F.struct(*fields)), F.lit("{}"))
 
 

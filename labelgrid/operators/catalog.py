@@ -62,7 +62,7 @@ def active_labels(labels: DataFrame, owner=None) -> DataFrame:
     return rows.orderBy("name", "id")
 
 
-def search_labels(labels: DataFrame, q: str, owner=None, limit: int | None = 200) -> DataFrame:
+def search_labels(labels: DataFrame, q: str, owner=None, limit: int | None = None) -> DataFrame:
     """Active labels whose name or slug matches the text, in which ``%`` and ``_`` are wildcards."""
     rows = active_labels(labels, owner)
     pattern = tag_norm(F.lit(q.strip()))
@@ -216,7 +216,7 @@ def _matching_notes(notes: DataFrame, q: str, author) -> DataFrame:
     return rows if author is None else rows.where(F.col("author_id") == author)
 
 
-def untagged_by_note(notes: DataFrame, bridge: DataFrame, labels: DataFrame, q: str, author=None, owner=None, limit: int | None = 200) -> DataFrame:
+def untagged_by_note(notes: DataFrame, bridge: DataFrame, labels: DataFrame, q: str, author=None, owner=None, limit: int | None = None) -> DataFrame:
     """Items with a matching note and none of the owner's active labels."""
     own = labels.where("is_active")
     if owner is not None:
@@ -226,7 +226,7 @@ def untagged_by_note(notes: DataFrame, bridge: DataFrame, labels: DataFrame, q:
     return found if limit is None else found.orderBy("image_id").limit(limit)
 
 
-def labels_by_notes(labels: DataFrame, bridge: DataFrame, notes: DataFrame, q: str, author=None, owner=None, limit: int | None = 80) -> DataFrame:
+def labels_by_notes(labels: DataFrame, bridge: DataFrame, notes: DataFrame, q: str, author=None, owner=None, limit: int | None = None) -> DataFrame:
     """Active labels by the number of their items with a matching note, with all their items counted too."""
     items = _matching_notes(notes, q, author).select("image_id").distinct()
     matched = bridge.join(items, "image_id", "left_semi").groupBy("label_id").agg(F.countDistinct("image_id").alias("note_match_count"))
@@ -398,9 +398,14 @@ def clean_role_codes(codes: Column) -> Column:
 
 
 def set_roles(user_roles: DataFrame, roles: DataFrame, requests: DataFrame) -> DataFrame:
-    """Replace the roles of the users in ``requests(user_id, codes)`` by the valid codes asked for."""
-    asked = requests.select("user_id", F.explode(clean_role_codes(F.col("codes"))).alias("code"))
-    new = asked.join(roles.select("code", F.col("id").alias("role_id")), "code").select("user_id", "role_id")
+    """Replace the roles of the users in ``requests(user_id, codes)`` by the codes asked for.
+
+    A code that is no role, or a list without any code, fails the job; nothing is replaced then.
+    """
+    asked = requests.select("user_id", F.explode_outer(clean_role_codes(F.col("codes"))).alias("code"))
+    found = asked.join(roles.select("code", F.col("id").alias("role_id")), "code", "left")
+    refused = F.raise_error(F.concat(F.lit("no such role: "), F.coalesce("code", F.lit("(empty list)"))))
+    new = found.select("user_id", F.when(F.col("role_id").isNull(), refused.cast(roles.schema["id"].dataType)).otherwise(F.col("role_id")).alias("role_id"))
     return replace_links(user_roles.select("user_id", "role_id"), "user_id", new, requests, child="role_id")
 
 

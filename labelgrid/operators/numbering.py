@@ -49,15 +49,16 @@ def _taken(existing: DataFrame) -> DataFrame:
     return bare.unionByName(numbered.where("t >= 2")).distinct()
 
 
-def unique_slugs(new: DataFrame, existing: DataFrame, rounds: int = 20) -> DataFrame:
+def unique_slugs(new: DataFrame, existing: DataFrame) -> DataFrame:
     """``id, base`` to ``id, slug``: base, base-2, base-3, ... skipping slugs in use.
 
     The i-th row of a base takes the i-th free number. A clash between the
     numbered slug of one base and the bare slug of another goes to the smaller
-    id; the other row is numbered again against what has been given out.
+    id; the other row is numbered again against what has been given out. Each
+    round settles at least one row of every clash, so the rounds come to an end.
     """
     pending, used, done = new.select("id", "base"), existing.select("slug").distinct(), []
-    for _ in range(rounds):
+    while True:
         wanted = number_in_group(pending, ["base"], ["id"], "key").select("base", "key", F.lit(0).alias("kind"), "id")
         taken = number_in_group(_taken(used).join(pending.select("base").distinct(), "base", "left_semi"), ["base"], ["t"], "j")
         marks = taken.select("base", (F.col("t") - F.col("j")).alias("key"), F.lit(1).alias("kind"), F.col("t").alias("id"))
@@ -70,8 +71,6 @@ def unique_slugs(new: DataFrame, existing: DataFrame, rounds: int = 20) -> DataF
             break
         pending = through_table(given.join(winners.select("id", "slug"), ["id", "slug"], "left_anti").select("id", "base"), "slugs-pending")
         used = used.unionByName(done[-1].select("slug"))
-    else:
-        raise ValueError("slugs still clash")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

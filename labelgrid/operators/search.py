@@ -26,7 +26,7 @@ SHIP_TERMS = 1_000_000
 
 def item_of(segment_id: Column) -> Column:
     """The item a segment id belongs to."""
-    return ((segment_id - F.pmod(segment_id, F.lit(SEGMENT_SPAN))) / SEGMENT_SPAN).cast("long")
+    return F.call_function("div", segment_id - F.pmod(segment_id, F.lit(SEGMENT_SPAN)), F.lit(SEGMENT_SPAN))
 
 
 def segments_of(items: DataFrame, mode: str = "both", text: str = "text") -> DataFrame:

@@ -138,7 +138,7 @@ def items_by_ids(t):
     return ca.by_ids(items(t).withColumnRenamed("image_id", "id"), ids)
 
 
-@query("search_labels_wildcard", sql("SELECT id, name, slug FROM labels WHERE is_active AND (name LIKE '%r_d%' OR slug LIKE '%r_d%') ORDER BY name, id LIMIT 200"))
+@query("search_labels_wildcard", sql("SELECT id, name, slug FROM labels WHERE is_active AND (name LIKE '%r_d%' OR slug LIKE '%r_d%')"))
 def search_labels(t):
     return ca.search_labels(labels(t), " R_d ").select("id", "name", "slug")
 
@@ -498,7 +498,7 @@ def number_rows(t):
 @query("set_roles", sql(""", req AS (SELECT c_custkey AS user_id FROM customer WHERE c_nationkey = 7)
 SELECT user_id, role_id FROM user_roles WHERE user_id NOT IN (SELECT user_id FROM req) UNION SELECT user_id, id FROM req, roles WHERE code IN ('ASIA', 'AFRICA')"""))
 def set_roles(t):
-    codes = F.array(F.lit(" asia"), F.lit("Africa "), F.lit("ASIA"), F.lit("nowhere"), F.lit(" "))
+    codes = F.array(F.lit(" asia"), F.lit("Africa "), F.lit("ASIA"), F.lit(" "))
     asked = t.customer.where("c_nationkey = 7").select(F.col("c_custkey").alias("user_id"), codes.alias("codes"))
     return ca.set_roles(user_roles(t), roles(t), asked)
 

@@ -257,7 +257,7 @@ st AS (SELECT session, item, max(seq) AS seq, arg_max(phase, seq) AS phase, arg_
 
 def state(t):
     folder = shared_folder(t.spark, "sessions")
-    return st.session_view(st.to_table(st.session_state(event_stream(t)), folder, "update"))
+    return st.session_view(st.to_table(event_stream(t), folder, st.session_state))
 
 
 @query("session_state_replay", f"WITH {SESSIONS} SELECT session, item, seq, phase, text FROM st")
@@ -274,7 +274,7 @@ def ended_sessions_removed(t):
 @query("progress_replay", f"WITH {SESSIONS} SELECT session, phase, count(*) AS processed, count(*) FILTER (ok) AS success, count(*) FILTER (NOT ok) AS errors FROM ev GROUP BY session, phase")
 def progress_replay(t):
     folder = shared_folder(t.spark, "progress")
-    return st.progress_view(st.to_table(st.progress_counts(event_stream(t)), folder, "update"))
+    return st.progress_view(st.to_table(event_stream(t), folder, st.progress_counts))
 
 
 @query("activity_replay", """SELECT DISTINCT event_id // 10 AS request, nullif(user_id % 3, 0) AS user_id, CASE WHEN event_type = 'click' THEN 'POST' ELSE 'GET' END AS method, '/' || event_type AS path,
@@ -283,7 +283,7 @@ def activity_replay(t):
     rows = st.file_stream(t.spark, f"{t.folder}/events.parquet", t.events.schema).select(
         F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("event_id") / 10).alias("request"), (F.col("user_id") % 3).alias("user_id"), F.lit("").alias("user_email"),
         F.when(F.col("event_type") == "click", "POST").otherwise("GET").alias("method"), F.concat(F.lit("/"), "event_type").alias("path"))
-    return st.to_table(st.activity_stream(rows), shared_folder(t.spark, "activity")).select("request", "user_id", "method", "path", "action")
+    return st.activity_view(st.to_table(rows, shared_folder(t.spark, "activity"), st.activity_rows)).select("request", "user_id", "method", "path", "action")
 
 
 @query("ingest_replay", NEAR + f""",

@@ -45,6 +45,8 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="labelgrid-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/labelgrid/{purpose}-{uuid.uuid4().hex}"

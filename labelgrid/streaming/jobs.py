@@ -1,8 +1,9 @@
 """Ingest and activity streams.
 
-State is bounded by event time everywhere: windows and duplicate keys expire
-behind the watermark, sinks are tables keyed by batch, so a repeated batch
-replaces itself.
+No stream keeps state: a batch is summed up by itself and written to a directory
+of its own, so a repeated batch replaces itself, and a view adds the batches up.
+Rows that arrive late or out of order count like any other, and the result does
+not depend on how files are split into batches.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from labelgrid.operators.scan import dense_search
 from labelgrid.session import shared_folder, through_table
 from labelgrid.sources.files import _exists
 
-SESSION_LIFE = "1 day"
-
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
     """Parquet files arriving in a folder; a single file is read as the only one of its name in its folder."""
@@ -32,35 +31,35 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return reader.parquet(path)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Work off everything that is there, batch by batch, then stop."""
-    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Every batch in a directory of its own, with the batch number as a column."""
+def to_table(stream: DataFrame, folder: str, shape: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+    """Every batch, shaped, in a directory of its own, with the batch number as a column."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number:09d}")
+        shape(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={number:09d}")
 
-    run_batches(stream, write, f"{folder}/checkpoint", mode)
+    run_batches(stream, write, f"{folder}/checkpoint")
     spark = stream.sparkSession
     if not _exists(spark, f"{folder}/rows"):
-        return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
+        return shape(spark.createDataFrame([], stream.schema)).withColumn("batch", F.lit(0))
     return spark.read.parquet(f"{folder}/rows")
 
 
 # ---------------------------------------------------------------- sessions and progress
 
-def session_state(stream: DataFrame, life: str = SESSION_LIFE) -> DataFrame:
-    """Latest phase and text of each (session, item); later sequence numbers win. Update mode."""
-    live = stream.withWatermark("ts", life).where("phase <> 'end'")
-    return live.groupBy(F.window("ts", life), "session", "item").agg(F.max(F.struct("seq", "phase", "text")).alias("last"))
+def session_state(batch: DataFrame) -> DataFrame:
+    """Latest phase and text of each (session, item) of a batch; later sequence numbers win."""
+    live = batch.where("phase <> 'end'")
+    return live.groupBy("session", "item").agg(F.max(F.struct("seq", "phase", "text")).alias("last"))
 
 
 def session_view(updates: DataFrame) -> DataFrame:
-    """Current state from the update table: over batches and windows the largest sequence number wins."""
+    """Current state from the table of batches: the largest sequence number wins."""
     best = updates.groupBy("session", "item").agg(F.max("last").alias("last"))
     return best.select("session", "item", "last.seq", "last.phase", "last.text")
 
@@ -70,27 +69,40 @@ def end_sessions(view: DataFrame, ended: DataFrame) -> DataFrame:
     return view.join(ended.select("session"), "session", "left_anti")
 
 
-def progress_counts(stream: DataFrame, life: str = SESSION_LIFE) -> DataFrame:
-    """Processed, succeeded and failed items per session and phase. Update mode."""
-    return stream.withWatermark("ts", life).groupBy(F.window("ts", life), "session", "phase").agg(
+def progress_counts(batch: DataFrame) -> DataFrame:
+    """Processed, succeeded and failed items per session and phase of a batch."""
+    return batch.groupBy("session", "phase").agg(
         F.count(F.lit(1)).alias("processed"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("errors"))
 
 
 def progress_view(updates: DataFrame) -> DataFrame:
-    """Counts per session and phase: the last batch of each window, summed over the windows."""
-    last = updates.groupBy("window", "session", "phase").agg(F.max_by(F.struct("processed", "success", "errors"), "batch").alias("l"))
-    return last.groupBy("session", "phase").agg(*[F.sum(f"l.{c}").alias(c) for c in ("processed", "success", "errors")])
+    """Counts per session and phase over all batches."""
+    return updates.groupBy("session", "phase").agg(*[F.sum(c).alias(c) for c in ("processed", "success", "errors")])
 
 
 # ---------------------------------------------------------------- activity log
 
-def activity_stream(stream: DataFrame, within: str = "2 hours") -> DataFrame:
-    """Log rows with action name and cut fields; repeats of (request, user, method, path) dropped."""
-    rows = stream.withColumn("action", tx.action_for(F.col("method"), F.col("path")))
+REPEAT_KEYS = ["request", "_user", "method", "path"]
+
+
+def activity_rows(batch: DataFrame) -> DataFrame:
+    """Log rows of a batch with action name and cut fields; repeats of (request, user, method, path) dropped."""
+    rows = batch.withColumn("action", tx.action_for(F.col("method"), F.col("path")))
     email = F.nullif(F.col("user_email"), F.lit(""))
     rows = tx.truncate_fields(rows.withColumn("user_email", email))
     rows = rows.withColumn("user_id", F.when(F.col("user_id") > 0, F.col("user_id"))).withColumn("_user", F.coalesce("user_id", F.lit(0)))
-    return rows.withWatermark("ts", within).dropDuplicatesWithinWatermark(["request", "_user", "method", "path"]).drop("_user")
+    return _first_of_each(rows, ["ts"])
+
+
+def activity_view(rows: DataFrame) -> DataFrame:
+    """The log over all batches: of repeats the row of the earliest time stays."""
+    return _first_of_each(rows, ["ts", "batch"]).drop("_user", "batch")
+
+
+def _first_of_each(rows: DataFrame, order: list[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in REPEAT_KEYS]
+    first = rows.groupBy(*REPEAT_KEYS).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*[F.col(c) if c in REPEAT_KEYS else F.col(f"_first.{c}").alias(c) for c in rows.columns])
 
 
 # ---------------------------------------------------------------- ingest
@@ -144,7 +156,3 @@ def ingest_stream(stream: DataFrame, folder: str, load_encoder=HashingEncoder, f
     if not _exists(spark, f"{folder}/events"):
         return spark.createDataFrame([], "doc_id long, status string, batch int"), None
     return spark.read.parquet(f"{folder}/events"), spark.read.parquet(f"{folder}/index")
-
-
-def new_folder(spark: SparkSession, purpose: str) -> str:
-    return shared_folder(spark, purpose)

@@ -152,10 +152,10 @@ def test_streams_over_several_batches(spark, tmp_path):
         part = spark.createDataFrame(base[n : n + 2], EVENTS.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts"))
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = lambda: st.file_stream(spark, f"{tmp_path}/in", EVENTS, 1)
-    view = st.session_view(st.to_table(st.session_state(stream()), f"{tmp_path}/state", "update"))
+    view = st.session_view(st.to_table(stream(), f"{tmp_path}/state", st.session_state))
     assert {(r["session"], r["item"], r["phase"], r["text"]) for r in view.collect()} == {(1, "x", "describe", "e"), (1, "y", "ocr", "c"), (2, "x", "ocr", "d")}
     assert st.end_sessions(view, spark.createDataFrame([(2,)], "session long")).count() == 2
-    counts = st.progress_view(st.to_table(st.progress_counts(stream()), f"{tmp_path}/progress", "update"))
+    counts = st.progress_view(st.to_table(stream(), f"{tmp_path}/progress", st.progress_counts))
     assert {(r["session"], r["phase"]): (r["processed"], r["errors"]) for r in counts.collect()}[(1, "ocr")] == (2, 1)
 
 
@@ -176,6 +176,31 @@ def test_repeated_requests_are_logged_once(spark, tmp_path):
     schema = "ts string, request long, user_id long, user_email string, method string, path string, user_agent string"
     spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/in")
     stream = st.file_stream(spark, f"{tmp_path}/in", schema.replace("ts string", "ts timestamp"))
-    out = st.to_table(st.activity_stream(stream), f"{tmp_path}/log").collect()
+    out = st.activity_view(st.to_table(stream, f"{tmp_path}/log", st.activity_rows)).collect()
     assert sorted((r["action"], r["user_id"], r["user_email"]) for r in out if r["user_id"]) == [("session_validate", 5, "a@x")]
     assert len(out) == 2 and all(len(r["user_agent"]) <= 512 for r in out)
+
+
+def test_streams_lose_no_late_rows_whatever_the_batches(spark, tmp_path):
+    for n, day in enumerate((20, 19, 10, 2)):
+        row = [(f"2024-01-{day:02d} 00:00:00", n + 1, "x", "ocr", n, "a", True, 7, n, "", "GET", "/x")]
+        part = spark.createDataFrame(row, EVENTS.replace("timestamp", "string") + ", request long, user_id long, user_email string, method string, path string")
+        part.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = EVENTS + ", request long, user_id long, user_email string, method string, path string"
+    for files in (1, 2, 100):
+        stream = lambda: st.file_stream(spark, f"{tmp_path}/in", schema, files)  # noqa: B023, E731
+        state = st.session_view(st.to_table(stream(), f"{tmp_path}/s{files}", st.session_state))
+        assert {r["session"] for r in state.collect()} == {1, 2, 3, 4}
+        assert st.progress_view(st.to_table(stream(), f"{tmp_path}/p{files}", st.progress_counts)).agg(F.sum("processed")).first()[0] == 4
+        log = st.activity_view(st.to_table(stream(), f"{tmp_path}/a{files}", st.activity_rows))
+        assert log.count() == 4 and "batch" not in log.columns
+
+
+def test_unknown_or_no_role_codes_are_refused(spark):
+    held = spark.createDataFrame([(1, 1), (2, 2)], "user_id long, role_id long")
+    roles = spark.createDataFrame([(1, "ADMIN"), (2, "USER")], "id long, code string")
+    ask = lambda codes: ca.set_roles(held, roles, spark.createDataFrame([(1, codes)], "user_id long, codes array<string>"))
+    assert {tuple(r) for r in ask([" user", "USER"]).collect()} == {(1, 2), (2, 2)}
+    for codes in (["TYPO"], ["user", "TYPO"], [], [" "]):
+        with pytest.raises(Exception, match="no such role"):
+            ask(codes).collect()
