@@ -29,7 +29,54 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-@query("op1_decontaminate")
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_MARKED = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_ROWS = "d AS (SELECT row_number() OVER () AS r, doc_id, text, {} AS w FROM documents), p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _covered(name: str, size: int, by: str) -> str:
+    """Positions of words inside windows of ``size`` words that occur twice in one text (by r) or anywhere."""
+    return f"""{name}_k AS (SELECT r, i, array_to_string(w[i : i + {size - 1}], ' ') AS k FROM p WHERE i + {size - 1} <= len(w)),
+{name}_c AS (SELECT r, i, count(*) OVER (PARTITION BY {by}) > 1 AS hit FROM {name}_k),
+{name} AS (SELECT r, i, coalesce(bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW), false) AS hit
+  FROM p LEFT JOIN {name}_c USING (r, i))"""
+
+
+SQL1 = f"""WITH {_ROWS.format(_MARKED)},
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_MARKED} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS k
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+hits AS (SELECT r, i, bw.n, item FROM (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM p, sizes WHERE i + n - 1 <= len(w)) x JOIN bw ON bw.n = x.n AND bw.k = x.k),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
+
+SQL3 = f"""WITH {_ROWS.format(_WORDS)}, {_covered("s", 3, "r, k")}, {_covered("m", quality_rules.MIN_REPEAT, "r, k")}, {_covered("x", quality_rules.MAX_REPEAT + 1, "r, k")},
+n AS (SELECT r, count(*) FILTER (s.hit) AS n_repeat_words, count(*) FILTER (m.hit) AS covered, bool_or(x.hit) AS long FROM s JOIN m USING (r, i) JOIN x USING (r, i) GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE trim(line, {_BLANKS}) <> '' GROUP BY r),
+v AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered, 0) AS covered, coalesce(long, false) AS long
+  FROM d LEFT JOIN n USING (r) LEFT JOIN l USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_SHORT_REPEAT} * n_words AS base_failed,
+  NOT (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_SHORT_REPEAT} * n_words) AND 100 * covered <= {quality_rules.MAX_COVERED} * n_words AND NOT long AS kept FROM v"""
+
+SQL4 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+k AS (SELECT r, i, line, {_LOWER.format(f"trim(line, {_BLANKS})")} AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= {line_dedup.MIN_DOCS})
+SELECT doc_id, len(ls) AS n_lines, n_dropped, kept_sha256 FROM d JOIN (
+  SELECT r, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256 FROM k LEFT JOIN f USING (key) GROUP BY r) USING (r)"""
+
+SQL10 = f"""WITH {_ROWS.format(_WORDS)}, {_covered("c", substring_dedup.SIZE, "k")},
+n AS (SELECT r, count(*) FILTER (hit) AS n_removed, string_agg(w[i], ' ' ORDER BY i) FILTER (NOT hit) AS kept FROM c JOIN p USING (r, i) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r)"""
+
+
+@query("op1_decontaminate", SQL1)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -43,12 +90,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op3_quality_rules")
+@query("op3_quality_rules", SQL3)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules.judge(table(spark, folder, "documents"))
+    return quality_rules.judge(table(spark, folder, "documents")).drop("n_covered", "longest_repeat")
 
 
-@query("op4_line_dedup")
+@query("op4_line_dedup", SQL4)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.drop_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("line_count").alias("n_lines"), F.col("line_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -80,7 +127,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", SQL10)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.drop_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
