@@ -285,8 +285,9 @@ def near_duplicates(items: DataFrame, threshold: float = 0.95, ship_rows: int |
 
 
 def token_jaccard(pairs: DataFrame, texts: DataFrame, left: str, right: str) -> DataFrame:
-    """Shared share of the distinct tokens of two texts, for listed pairs."""
-    sets = texts.select("id", F.array_distinct(tx.search_tokens(F.col("text"))).alias("tokens"))
+    """Shared share of the distinct tokens of two texts, for listed pairs; only their texts are cut into tokens."""
+    wanted = pairs.select(F.col(left).alias("id")).unionByName(pairs.select(F.col(right).alias("id"))).distinct()
+    sets = texts.join(wanted, "id", "left_semi").select("id", F.array_distinct(tx.search_tokens(F.col("text"))).alias("tokens"))
     a = sets.select(F.col("id").alias(left), F.col("tokens").alias("ta"))
     b = sets.select(F.col("id").alias(right), F.col("tokens").alias("tb"))
     either = F.size(F.array_union("ta", "tb"))
@@ -295,18 +296,59 @@ def token_jaccard(pairs: DataFrame, texts: DataFrame, left: str, right: str) ->
     ).drop("ta", "tb")
 
 
-def duplicate_gate(items: DataFrame, threshold: float = 0.95, verify_above: float = 0.9, force: bool = False, verify=token_jaccard) -> DataFrame:
+def duplicate_gate(items: DataFrame, threshold: float = 0.95, verify_above: float = 0.9, force: bool = False, verify=token_jaccard, index: DataFrame | None = None) -> DataFrame:
     """Every arriving item with the verdict ``duplicate`` or ``new``.
 
-    ``items``: ``id, text, vector``, ids in order of arrival. The nearest earlier
-    item must score above the threshold and pass the verification. Items are
-    judged as a set: an earlier item counts even when it was itself rejected.
+    ``items``: ``id, text, vector``, ids from 0 in order of arrival; ``index`` holds what is there already, in the same form. An item is a
+    duplicate if the nearest of the indexed and the earlier accepted items scores above the threshold and passes the verification; a rejected
+    item is nobody's match. An indexed match is given as ``-1 - id``.
+
+    Verdicts are settled in rounds: an item whose nearest candidate is accepted is judged, one whose candidate was
+    rejected looks again among the others, one whose candidate is open waits. Each round settles the earliest open item.
     """
     if force:
         return items.select("id", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("double").alias("score"),
                             F.lit(None).cast("double").alias("verify"), F.lit("new").alias("status"))
+    # Rounds read the items again and again; what made them shall not run each time.
+    items = through_table(items.select("id", "text", "vector"), "gate-items")
+    pool = items
     near = near_duplicates(items, threshold)
-    checked = verify(near, items.select("id", "text"), "id", "match_id")
-    judged = items.select("id").join(checked, "id", "left")
-    status = F.when(F.col("verify") > verify_above, F.lit("duplicate")).otherwise(F.lit("new"))
-    return judged.select("id", "match_id", "score", F.round("verify", rk.SCORE_DIGITS).alias("verify"), status.alias("status"))
+    if index is not None:
+        old = index.select((-F.col("id") - 1).alias("id"), "text", "vector")
+        pool = pool.unionByName(old)
+        near = near.unionByName(_above(items, old, threshold))
+        # The closest wins, at a tie the indexed one.
+        near = near.groupBy("id").agg(F.max(F.struct("score", (-F.col("match_id")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("match_id"), "b.score")
+    texts = pool.select("id", "text")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return verify(through_table(pairs.select("id", "match_id", "score"), "gate-pairs"), texts, "id", "match_id").select("id", "match_id", "score", "verify")
+
+    def free(ids: DataFrame) -> DataFrame:
+        nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("match_id", "long"), ("score", "double"), ("verify", "double"))]
+        return ids.select("id", *nothing, F.lit("new").alias("status"))
+
+    pending = through_table(checked(near), "gate-open")
+    settled = through_table(free(items.join(pending, "id", "left_anti")), "gate-settled")
+    while not pending.isEmpty():
+        known = settled.select(F.col("id").alias("match_id"), F.col("status").alias("of"))
+        look = pending.join(known, "match_id", "left").withColumn("of", F.when(F.col("match_id") < 0, "new").otherwise(F.col("of")))
+        look = through_table(look, "gate-look")
+        status = F.when(F.col("verify") > verify_above, F.lit("duplicate")).otherwise(F.lit("new"))
+        made = look.where("of = 'new'").select("id", "match_id", "score", "verify", status.alias("status"))
+        settled = through_table(settled.unionByName(made), "gate-settled")
+        pending = look.where("of is null").select("id", "match_id", "score", "verify")
+        lost = look.where("of = 'duplicate'").select("id")
+        if not lost.isEmpty():
+            rest = pool.join(settled.where("status = 'duplicate'"), "id", "left_anti")
+            again = through_table(checked(_above(items.join(lost, "id", "left_semi"), rest, threshold)), "gate-again")
+            settled = through_table(settled.unionByName(free(lost.join(again, "id", "left_anti"))), "gate-settled")
+            pending = pending.unionByName(again)
+        pending = through_table(pending, "gate-open")
+    return settled.select("id", "match_id", "score", F.round("verify", rk.SCORE_DIGITS).alias("verify"), "status")
+
+
+def _above(items: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """The nearest of ``others`` with a smaller id above the threshold: ``id, match_id, score``."""
+    found = dense_search(items.select(F.col("id").alias("query_id"), "vector"), others.select("id", "vector"), k=1, min_score=threshold, earlier_only=True)
+    return found.where(F.col("score") > threshold).select(F.col("query_id").alias("id"), F.col("id").alias("match_id"), "score")

@@ -252,10 +252,21 @@ def near_duplicates(t):
     return se.near_duplicates(arrivals(t))
 
 
-@query("duplicate_gate", NEAR + f""",
+# One item after the other, in order of arrival: the nearest earlier item that was not rejected decides.
+GATE = NEAR.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 sets AS (SELECT doc_id AS id, list_distinct({s.tokens('text')}) AS tk FROM documents),
-v AS (SELECT n.*, len(list_intersect(a.tk, b.tk))::DOUBLE / len(list_distinct(list_concat(a.tk, b.tk))) AS verify
-      FROM near n JOIN sets a ON a.id = n.id JOIN sets b ON b.id = n.match_id)
+pv AS MATERIALIZED (SELECT p.id, p.match_id, p.score, len(list_intersect(a.tk, b.tk))::DOUBLE / len(list_distinct(list_concat(a.tk, b.tk))) AS verify
+  FROM p JOIN sets a ON a.id = p.id JOIN sets b ON b.id = p.match_id WHERE score > 0.95),
+own AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS n, list({{'match_id': match_id, 'verify': verify}} ORDER BY score DESC, match_id) AS m FROM pv GROUP BY id),
+g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS rejected
+  UNION ALL SELECT own.n, CASE WHEN coalesce(list_filter(own.m, lambda x: NOT list_contains(g.rejected, x.match_id))[1].verify, 0) > 0.9 THEN list_append(g.rejected, own.id) ELSE g.rejected END
+  FROM g JOIN own ON own.n = g.n + 1),
+rejected AS (SELECT unnest(rejected) AS id FROM (SELECT rejected FROM g ORDER BY n DESC LIMIT 1)),
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match_id) AS nr FROM pv WHERE match_id NOT IN (SELECT id FROM rejected)) WHERE nr = 1)
+"""
+
+
+@query("duplicate_gate", GATE + """
 SELECT doc_id AS id, match_id, score, round(verify, 9) AS verify, CASE WHEN verify > 0.9 THEN 'duplicate' ELSE 'new' END AS status
 FROM documents LEFT JOIN v ON v.id = doc_id""")
 def duplicate_gate(t):

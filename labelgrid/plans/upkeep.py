@@ -11,7 +11,7 @@ from labelgrid.plans import catalog as pc
 from labelgrid.plans import evaluation as pe
 from labelgrid.plans import sqltext as s
 from labelgrid.plans.registry import query
-from labelgrid.plans.search import NEAR
+from labelgrid.plans.search import GATE
 from labelgrid.session import shared_folder, spread
 from labelgrid.sources import files as fi
 from labelgrid.sources import index as ix
@@ -286,9 +286,7 @@ def activity_replay(t):
     return st.activity_view(st.to_table(rows, shared_folder(t.spark, "activity"), st.activity_rows)).select("request", "user_id", "method", "path", "action")
 
 
-@query("ingest_replay", NEAR + f""",
-sets AS (SELECT doc_id AS id, list_distinct({s.tokens('text')}) AS tk FROM documents),
-v AS (SELECT n.id, len(list_intersect(a.tk, b.tk))::DOUBLE / len(list_distinct(list_concat(a.tk, b.tk))) AS verify FROM near n JOIN sets a ON a.id = n.id JOIN sets b ON b.id = n.match_id),
+@query("ingest_replay", GATE + """,
 res AS (SELECT doc_id, CASE WHEN verify > 0.9 THEN 'duplicate' ELSE 'indexed' END AS status FROM documents LEFT JOIN v ON v.id = doc_id)
 SELECT res.doc_id, status, i.item_id FROM res LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS item_id FROM res WHERE status = 'indexed') i USING (doc_id)""")
 def ingest_replay(t):

@@ -17,7 +17,6 @@ from labelgrid.functions import text as tx
 from labelgrid.operators import search as se
 from labelgrid.operators.encode import HashingEncoder, encode_column
 from labelgrid.operators.numbering import last_id, number_rows
-from labelgrid.operators.scan import dense_search
 from labelgrid.session import shared_folder, through_table
 from labelgrid.sources.files import _exists
 
@@ -108,23 +107,9 @@ def _first_of_each(rows: DataFrame, order: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- ingest
 
 def gate_batch(batch: DataFrame, index: DataFrame | None, threshold: float = 0.95, verify_above: float = 0.9) -> DataFrame:
-    """Verdict on each new item against the index and against earlier items of the batch.
-
-    Both sides carry ``id, text, vector``; the closest of all wins, at a tie the indexed one.
-    """
-    near = se.near_duplicates(batch, threshold).select("id", "match_id", "score", F.lit(1).alias("src"))
-    texts = batch.select("id", "text")
-    if index is not None:
-        found = dense_search(batch.select(F.col("id").alias("query_id"), "vector"), index.select("id", "vector"), 1, threshold)
-        old = found.where(F.col("score") > threshold).select(F.col("query_id").alias("id"), (-F.col("id") - 1).alias("match_id"), "score", F.lit(0).alias("src"))
-        near = near.unionByName(old)
-        # Indexed items get negative ids while they stand beside the batch.
-        texts = texts.unionByName(index.select((-F.col("id") - 1).alias("id"), "text"))
-    best = near.groupBy("id").agg(F.max(F.struct("score", (-F.col("src")).alias("src"), (-F.col("match_id")).alias("m"))).alias("b"))
-    best = best.select("id", (-F.col("b.m")).alias("match_id"), F.col("b.score").alias("score"))
-    checked = se.token_jaccard(best, texts, "id", "match_id")
-    judged = batch.join(checked, "id", "left")
-    return judged.withColumn("status", F.when(F.col("verify") > verify_above, "duplicate").otherwise("new"))
+    """Verdict on each new item against the index and against accepted earlier items of the batch; both carry ``id, text, vector``."""
+    judged = se.duplicate_gate(batch, threshold, verify_above, index=index)
+    return batch.join(judged.select("id", "status"), "id")
 
 
 def ingest_stream(stream: DataFrame, folder: str, load_encoder=HashingEncoder, force: bool = False) -> tuple[DataFrame, DataFrame | None]:

@@ -204,3 +204,22 @@ def test_unknown_or_no_role_codes_are_refused(spark):
     for codes in (["TYPO"], ["user", "TYPO"], [], [" "]):
         with pytest.raises(Exception, match="no such role"):
             ask(codes).collect()
+
+
+def test_gate_compares_with_accepted_items_only(spark, tmp_path):
+    from labelgrid.operators.search import duplicate_gate
+
+    # a ~ b ~ c, but not a ~ c: b goes, so c stays.
+    vectors = [[1.0, 0.0], [0.97, 0.243], [0.88, 0.475], [1.0, 0.0], [0.0, 1.0]]
+    same = lambda pairs, texts, left, right: pairs.withColumn("verify", F.lit(1.0))
+    schema = "id long, text string, vector array<double>"
+    rows = [(i, "t", v) for i, v in enumerate(vectors)]
+    expected = {0: "new", 1: "duplicate", 2: "new", 3: "duplicate", 4: "new"}
+    for cuts in ([5], [2, 5], [1, 2, 3, 4, 5]):
+        status, first = {}, 0
+        for last in cuts:
+            kept = spark.createDataFrame([r for r in rows[:first] if status[r[0]] == "new"], schema) if first else None
+            verdict = duplicate_gate(spark.createDataFrame(rows[first:last], schema), verify=same, index=kept)
+            status |= {r["id"]: r["status"] for r in verdict.collect()}
+            first = last
+        assert status == expected
