@@ -106,7 +106,7 @@ def cut(df: DataFrame, order: list, limit: int) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows in an order that depends on key and seed only, not on partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def random_row(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -155,8 +155,8 @@ def unblind(df: DataFrame, key: DataFrame) -> DataFrame:
 
 def blind_sheet(df: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """A sheet with codes instead of models, in hash order, and the key kept apart."""
-    mixed = F.xxhash64("item_id", "model", F.lit(seed))
-    coded = df.withColumn("code", F.concat(F.lit("M"), F.lower(F.hex(mixed)))).withColumn("_order", mixed)
+    mixed = F.md5(F.concat_ws("|", F.col("item_id").cast("string"), F.col("model"), F.lit(str(seed))))
+    coded = df.withColumn("code", F.concat(F.lit("M"), mixed)).withColumn("_order", mixed)
     return coded.orderBy("_order").drop("model", "_order"), coded.select("code", F.col("model").alias("real_model"))
 
 

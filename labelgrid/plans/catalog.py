@@ -533,12 +533,12 @@ def cut_results(t):
     return rk.cut(t.orders.where("o_totalprice > 400000").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 20)
 
 
-@query("random_candidates")
+@query("random_candidates", "SELECT doc_id, source FROM documents ORDER BY md5(doc_id || '|10062026'), doc_id LIMIT 200")
 def random_candidates(t):
     return rk.hash_sample(t.documents.select("doc_id", "source"), "doc_id", 200, 10062026)
 
 
-@query("random_item")
+@query("random_item", "SELECT doc_id, source FROM documents ORDER BY md5(doc_id || '|7'), doc_id LIMIT 1")
 def random_item(t):
     return rk.random_row(t.documents.select("doc_id", "source"), "doc_id", 7)
 

@@ -344,7 +344,7 @@ def unblind_models(t):
     return st.unblind(t.documents.select("doc_id", code.alias("code")), key)
 
 
-@query("blind_sheet")
+@query("blind_sheet", "SELECT 'M' || md5(doc_id || '|' || source || '|7') AS code, doc_id AS item_id, lang, source AS real_model FROM documents")
 def blind_sheet(t):
     sheet, key = st.blind_sheet(t.documents.select(F.col("doc_id").alias("item_id"), F.col("source").alias("model"), "lang"), 7)
     return sheet.join(key, "code")

@@ -27,14 +27,39 @@ for _mode in ("full", "segments", "both"):
         lambda t, mode=_mode: segments_of(items(t), mode))
 
 
-@query("semantic_segments")
+def _norm(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def segments_sql(text: str) -> str:
+    """CTE ``seg`` (doc_id, whole, segs): blocks, sentences and first occurrences; look-around is put as a mark between kept groups."""
+    heading = "'^[^.!?]{2,120}:$'"
+    fold = "replace(translate(lower(x), 'ς', 'σ'), 'ß', 'ss')"
+    return rf"""
+ln AS (SELECT doc_id, {_norm(text)} AS whole, list_transform(string_split({text}, chr(10)), lambda x: {_norm('x')}) AS ls FROM documents),
+mk AS (SELECT doc_id, whole, array_to_string(list_transform(ls, lambda x: CASE WHEN x = '' THEN chr(1) WHEN regexp_matches(x, {heading}) THEN chr(1) || x || chr(2)
+       ELSE regexp_replace(x, '^\s*[-*•]\s*', '') END), ' ') AS t FROM ln),
+bl AS (SELECT doc_id, whole, list_transform(string_split(t, chr(1)), lambda x: CASE WHEN NOT contains(x, chr(2)) THEN {_norm('x')}
+       WHEN {_norm("split_part(x, chr(2), 2)")} = '' THEN '' ELSE {_norm("split_part(x, chr(2), 1) || ' ' || split_part(x, chr(2), 2)")} END) AS bs FROM mk),
+st AS (SELECT doc_id, whole, flatten(list_transform(bs, lambda x: string_split(regexp_replace(x, '([.!?])\s+([A-ZÁÉÍÓÚÜÑ0-9])', '\1' || chr(3) || '\2', 'g'), chr(3)))) AS ss FROM bl),
+kp AS (SELECT doc_id, whole, list_filter(list_transform(ss, lambda x: {_norm('x')}), lambda x: x <> '' AND NOT regexp_matches(x, {heading}) AND x <> whole) AS ss FROM st),
+fo AS (SELECT doc_id, whole, ss, list_transform(ss, lambda x: {fold}) AS fs FROM kp),
+seg AS (SELECT doc_id, whole, list_filter(ss, lambda x, i: list_position(fs, fs[i]) = i) AS segs FROM fo)"""
+
+
+MARKED = r"(substr(split_part(text, '.', 1), 1, 80) || ':' || chr(10) || '- ' || replace(text, chr(10), chr(10) || chr(10) || '* '))"
+
+
+@query("semantic_segments", f"WITH {segments_sql(MARKED)} SELECT doc_id, unnest(range(len(segs))) AS pos, unnest(segs) AS segment FROM seg")
 def semantic_segments(t):
     """Documents have no headings, so the first line of each is turned into one; bullets and blank lines are put in."""
     marked = F.concat(F.substring(F.split_part("text", F.lit("."), F.lit(1)), 1, 80), F.lit(":\n- "), F.regexp_replace("text", "\n", "\n\n* "))
     return docs(t).select("doc_id", F.posexplode(tx.semantic_segments(marked)).alias("pos", "segment"))
 
 
-@query("text_units")
+@query("text_units", f"""WITH {segments_sql("text")}
+SELECT doc_id, doc_id || ':full' AS segment_id, 'full' AS segment_type, whole AS segment_text FROM seg WHERE whole <> ''
+UNION ALL SELECT doc_id, format('{{}}:segment:{{:03d}}', doc_id, n), 'segment', s FROM (SELECT doc_id, unnest(range(1, len(segs) + 1)) AS n, unnest(segs) AS s FROM seg WHERE len(segs) > 1)""")
 def text_units(t):
     unit = F.posexplode(tx.text_units(F.col("text"), "full_plus_segments")).alias("pos", "u")
     rows = docs(t).select("doc_id", unit)
