@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,10 +111,11 @@ def encode_column(
     """Add ``dense``, ``sparse_idx`` and ``sparse_w``; the encoder is loaded once per task.
 
     Without ``batch`` the encoder's own batch size is taken, or 16 texts. An
-    encoder with a ``flat`` method fills the Arrow columns without a list per text.
+    encoder with a ``flat`` method fills the Arrow columns without a list per text;
+    it gets at most ``batch`` texts (1024 if unset) and about ``FLAT_BYTES`` at once.
     """
     if hasattr(load_encoder, "flat"):
-        return _encode_flat(df, column, load_encoder, attempts)
+        return _encode_flat(df, column, load_encoder, attempts, batch or FLAT_ROWS)
     schema = T.StructType(df.schema.fields + VECTORS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,14 +131,26 @@ def encode_column(
     return df.mapInPandas(run, schema)
 
 
-def _encode_flat(df: DataFrame, column: str, load_encoder: Callable, attempts: int) -> DataFrame:
+FLAT_ROWS, FLAT_BYTES = 1024, 4 << 20
+
+
+def _parts(batch: pa.RecordBatch, column: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows whose texts are about ``FLAT_BYTES`` together, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, before + FLAT_BYTES, "right"))))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _encode_flat(df: DataFrame, column: str, load_encoder: Callable, attempts: int, size: int) -> DataFrame:
     schema = T.StructType(df.schema.fields + VECTORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = with_retry(load_encoder().flat, attempts)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _parts(whole, column, size)):
             dense, sizes, places, weights = encode(batch.column(column).to_pylist())
             starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             rows = np.arange(batch.num_rows + 1, dtype=np.int32) * dense.shape[1]

@@ -138,6 +138,29 @@ def test_encoder_hook(spark):
     assert rows[1]["sparse_idx"] == [] and set(rows[2]["dense"]) == {0.0}
 
 
+def test_flat_calls_are_bounded_and_repeated(spark, tmp_path):
+    seen = str(tmp_path)
+
+    class Flaky(HashingEncoder):
+        """Fails at the first call for each batch of texts and notes the size of each call."""
+
+        def flat(self, texts):
+            import os
+            import uuid
+
+            open(f"{seen}/{len(texts)}-{uuid.uuid4().hex}", "w").close()
+            if not os.path.exists(mark := f"{seen}/mark-{hash(tuple(texts))}"):
+                open(mark, "w").close()
+                raise RuntimeError("down")
+            return super().flat(texts)
+
+    df = spark.createDataFrame([(i, f"toro rojo {i}") for i in range(11)], "id long, text string").coalesce(1)
+    got = {r["id"]: r["sparse_idx"] for r in encode_column(df, "text", Flaky, batch=3).collect()}
+    assert got == {r["id"]: r["sparse_idx"] for r in encode_column(df, "text", HashingEncoder).collect()}
+    sizes = [int(p.name.split("-")[0]) for p in tmp_path.iterdir() if not p.name.startswith("mark")]
+    assert max(sizes) == 3 and len(sizes) >= 8
+
+
 def test_retry_is_bounded():
     calls = []
 
