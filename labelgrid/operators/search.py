@@ -18,7 +18,8 @@ from labelgrid.operators.scan import dense_search, sparse_search
 from labelgrid.session import rows_if_small, shared_folder, spread, through_table
 
 SEGMENT_SPAN = 1_000_000  # positions reserved for the segments of one item
-BRANCH_DEPTH = 1000  # segment hits each branch hands to the roll-up
+BRANCH_DEPTH = 1000  # segment hits each branch of the search service hands to the roll-up
+EVAL_DEPTH = 100_000  # the same for the evaluation, which reads whole indexes up to this size
 RRF_K = 60
 BM25_DIGITS = 6
 SHIP_TERMS = 1_000_000
@@ -30,8 +31,12 @@ def item_of(segment_id: Column) -> Column:
 
 
 def segments_of(items: DataFrame, mode: str = "both", text: str = "text") -> DataFrame:
-    """``item_id, segment_id, segment_text``: the joined text and each of its lines."""
-    units = spread(items.select("item_id", text)).select("item_id", F.posexplode(tx.line_units(F.col(text), mode)).alias("pos", "segment_text"))
+    """``item_id, segment_id, segment_text``: the joined text and each of its lines, or with ``units`` its semantic segments."""
+    if mode == "units":
+        parts = F.transform(tx.text_units(F.col(text), "full_plus_segments"), lambda u: u["segment_text"])
+    else:
+        parts = tx.line_units(F.col(text), mode)
+    units = spread(items.select("item_id", text)).select("item_id", F.posexplode(parts).alias("pos", "segment_text"))
     within = F.when(F.col("pos") < SEGMENT_SPAN, F.col("pos")).otherwise(F.raise_error(F.lit("an item has too many segments")).cast("int"))
     return units.select("item_id", (F.col("item_id") * SEGMENT_SPAN + within).alias("segment_id"), "segment_text")
 
@@ -92,25 +97,42 @@ def hybrid_search(queries: DataFrame, index: DataFrame, depth: int = BRANCH_DEPT
     return rk.rrf(branches, RRF_K, n)
 
 
-def run_systems(queries: DataFrame, items: DataFrame, specs: dict[str, tuple[str, str, bool]], n: int = 50, load_encoder=HashingEncoder) -> DataFrame:
+def run_systems(queries: DataFrame, items: DataFrame, specs: dict[str, tuple[str, str, bool]], n: int = 50, depth: int = EVAL_DEPTH, load_encoder=HashingEncoder) -> DataFrame:
     """All systems over all queries: ``system, query_id, item_id, score, rank``.
 
     ``specs``: system name -> (text column, segment mode, hybrid). Systems that
-    share a text column and mode share one index.
+    share a text column and mode share one index. Each branch reads ``depth``
+    segments, or ``n`` if that is more, or the whole index if that is less.
     """
     encoded = encode_queries(queries, load_encoder)
     indexes = segment_indexes(items, sorted({(column, mode) for column, mode, _ in specs.values()}), load_encoder)
+    depths = {key: max(1, rk.branch_depth(index, n, depth).first()["depth"]) for key, index in indexes.items()}
     runs = []
     for system, (column, mode, hybrid) in specs.items():
-        index = indexes[column, mode]
+        index, reach = indexes[column, mode], depths[column, mode]
         if hybrid:
-            run = hybrid_search(encoded, index, n=n)
+            run = hybrid_search(encoded, index, reach, n)
         else:
-            run = dense_branch(encoded, index).where(F.col("rank") <= n)
+            run = dense_branch(encoded, index, reach).where(F.col("rank") <= n)
         runs.append(run.select(F.lit(system).alias("system"), "query_id", "item_id", "score", "rank"))
     return reduce(DataFrame.unionByName, runs)
 
 
+def historic_runs(stored: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """Stored rankings (system, query_id, item_id, rank) beside the systems run now, with depth and complete (``n`` items).
+
+    An item that the catalogue does not know fails the job.
+    """
+    known = stored.join(items.select("item_id", F.lit(True).alias("_known")).distinct(), "item_id", "left")
+    refused = F.raise_error(F.concat(F.lit("stored ranking with unknown item: "), F.col("item_id").cast("string")))
+    known = known.withColumn("item_id", F.when(F.col("_known"), F.col("item_id")).otherwise(refused.cast(stored.schema["item_id"].dataType)))
+    sizes = known.groupBy("system", "query_id").agg(F.count(F.lit(1)).alias("depth"))
+    return (
+        known.join(sizes, ["system", "query_id"])
+        .select("system", "query_id", "item_id", F.lit(None).cast("double").alias("score"), "rank", "depth", (F.col("depth") == n).alias("complete"))
+    )
+
+
 def search_by_tags(items: DataFrame, index: DataFrame, allowed: DataFrame, queries: DataFrame | None = None, n: int | None = 50) -> DataFrame:
     """Search restricted to the allowed items; without a query every one of them scores 1.0.
 

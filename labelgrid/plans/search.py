@@ -8,8 +8,10 @@ from labelgrid.functions import text as tx
 from labelgrid.operators import ranking as rk
 from labelgrid.operators import scan
 from labelgrid.operators import search as se
+from labelgrid.operators.numbering import number_in_group
 from labelgrid.plans import sqltext as s
 from labelgrid.plans.registry import query
+from labelgrid.plans.texts import segments_sql
 from labelgrid.session import spread
 
 
@@ -86,19 +88,24 @@ SYSTEMS = {
     "body_dense": ("body", "full", False),
     "whole_dense": ("text", "full", False),
     "whole_hybrid_full": ("text", "full", True),
-    "whole_hybrid_segmented": ("text", "both", True),
+    "whole_hybrid_segmented": ("text", "units", True),
 }
+# Semantic units under the segment ids of the index: the whole text is position 0.
+UNITS = """us AS (SELECT doc_id AS item_id, doc_id * 1000000 AS segment_id, whole AS segment_text FROM seg WHERE whole <> ''
+  UNION ALL SELECT doc_id, doc_id * 1000000 + n, x FROM (SELECT doc_id, unnest(range(1, len(segs) + 1)) AS n, unnest(segs) AS x FROM seg WHERE len(segs) > 1))"""
 
 
 def systems_sql() -> str:
     first = "split_part(text, chr(10), 1)"
     rest = "CASE WHEN contains(text, chr(10)) THEN substr(text, position(chr(10) IN text) + 1) ELSE '' END"
     ctes = [f"fields AS (SELECT doc_id, text, {first} AS head, {rest} AS body FROM documents)", s.ASKED]
-    for name, column, mode in (("h", "head", "full"), ("b", "body", "full"), ("w", "text", "full"), ("g", "text", "both")):
-        ctes += [s.segments(f"{name}s", "fields", "doc_id", column, mode), s.encoded(name, f"{name}s", "segment_id", "segment_text"),
-                 s.dense_hits(f"{name}dh", "q", name, 1000), s.rolled(f"{name}db", f"{name}dh")]
+    for name, column in (("h", "head"), ("b", "body"), ("w", "text")):
+        ctes.append(s.segments(f"{name}s", "fields", "doc_id", column, "full"))
+    ctes += [segments_sql("text"), UNITS.replace("us AS", "gs AS", 1)]
+    for name in "hbwg":
+        ctes += [s.encoded(name, f"{name}s", "segment_id", "segment_text"), s.dense_hits(f"{name}dh", "q", name, se.EVAL_DEPTH), s.rolled(f"{name}db", f"{name}dh")]
     for name in "wg":
-        ctes += [s.sparse_hits(f"{name}sh", "q", name, 1000), s.rolled(f"{name}sb", f"{name}sh"), s.fused(f"{name}f", [f"{name}db", f"{name}sb"], 50)]
+        ctes += [s.sparse_hits(f"{name}sh", "q", name, se.EVAL_DEPTH), s.rolled(f"{name}sb", f"{name}sh"), s.fused(f"{name}f", [f"{name}db", f"{name}sb"], 50)]
     parts = [("head_dense", "hdb"), ("body_dense", "bdb"), ("whole_dense", "wdb"), ("whole_hybrid_full", "wf"), ("whole_hybrid_segmented", "gf")]
     return "WITH " + ",".join(ctes) + " UNION ALL ".join(
         f" SELECT '{n}' AS system, query_id, item_id, score, rank FROM {c} WHERE rank <= 50" for n, c in parts)
@@ -110,6 +117,23 @@ def run_systems(t):
     return se.run_systems(asked(t), fields(t), SYSTEMS)
 
 
+@query("run_systems_complete", "SELECT b.item_id AS query_id, least(50, count(*)) AS depth, least(50, count(*)) AS items, true AS complete FROM benchmark b, documents d WHERE trim(d.text) <> '' GROUP BY ALL")
+def run_systems_complete(t):
+    """Every query has all its items in the dense system over whole texts; a short ranking fails the job."""
+    texts = items(t).where(~tx.is_blank(F.col("text")))
+    runs = se.run_systems(asked(t), texts, {"whole_dense": ("text", "full", False)})
+    return rk.require_complete(runs, min(50, texts.count()), ["query_id"])
+
+
+@query("historic_runs", """
+WITH r AS (SELECT source AS system, lang AS query_id, doc_id AS item_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rank FROM documents)
+SELECT system, query_id, item_id, NULL::DOUBLE AS score, rank, max(rank) OVER (PARTITION BY system, query_id) AS depth, max(rank) OVER (PARTITION BY system, query_id) = 10 AS complete FROM r""")
+def historic_runs(t):
+    """The documents of a source and language as its stored ranking."""
+    stored = number_in_group(t.documents.select(F.col("source").alias("system"), F.col("lang").alias("query_id"), F.col("doc_id").alias("item_id")), ["system", "query_id"], ["item_id"], "rank")
+    return se.historic_runs(stored, items(t))
+
+
 def fields(t):
     split = F.instr("text", "\n")
     return t.documents.select(
