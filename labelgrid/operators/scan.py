@@ -49,6 +49,7 @@ class Limits:
     skip_self: bool = False
     earlier_only: bool = False
     digits: int = SCORE_DIGITS
+    span: int | None = None  # ids of one item share ``id // span``; then k counts items, each with its best row
 
 
 class TopBuffer:
@@ -72,20 +73,40 @@ class TopBuffer:
         if self.limits.earlier_only:
             keep &= ids[None, :] < self.query_ids[:, None]
         k = self.limits.k
+        ids = np.broadcast_to(ids[None, :], scores.shape)
+        if self.limits.span is not None and scores.shape[1]:
+            scores, ids = self.best_rows(np.where(keep, scores, -np.inf), ids[0])
+            keep = scores > -np.inf
         if k is not None and k < scores.shape[1]:
             masked = np.where(keep, scores, -np.inf)
             kth = -np.partition(-masked, k - 1, axis=1)[:, k - 1]
             keep &= scores >= kth[:, None]
         q, d = np.nonzero(keep)
-        self.parts.append((q, ids[d], scores[q, d]))
+        self.parts.append((q, ids[q, d], scores[q, d]))
         self.held += len(q)
         if k is not None and self.held > 4 * k * max(1, len(self.query_ids)) + 100_000:
             self.shrink()
 
+    def best_rows(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best score of each item and query, and the least id that has it."""
+        order = np.argsort(ids, kind="stable")
+        scores, ids = scores[:, order], ids[order]
+        item = ids // self.limits.span
+        starts = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        best = np.maximum.reduceat(scores, starts, axis=1)
+        level = np.repeat(best, np.diff(np.append(starts, len(ids))), axis=1)
+        return best, np.minimum.reduceat(np.where(scores == level, ids[None, :], np.iinfo(np.int64).max), starts, axis=1)
+
     def shrink(self) -> None:
         if not self.parts:
             return
         q, ids, scores = (np.concatenate(p) for p in zip(*self.parts))
+        if self.limits.span is not None:
+            item = ids // self.limits.span
+            order = np.lexsort((ids, -scores, item, q))
+            q, ids, scores, item = q[order], ids[order], scores[order], item[order]
+            first = np.append(True, (q[1:] != q[:-1]) | (item[1:] != item[:-1]))[: len(q)]
+            q, ids, scores = q[first], ids[first], scores[first]
         order = np.lexsort((ids, -scores, q))
         q, ids, scores = q[order], ids[order], scores[order]
         if self.limits.k is not None:
@@ -128,12 +149,17 @@ def _seed_floors(index: DataFrame, query_ids: np.ndarray, limits: Limits, scorer
     if limits.k is None or limits.earlier_only or index.rdd.getNumPartitions() <= SEED_PARTITIONS:
         return None
     part = index.where(F.pmod(F.xxhash64("id"), F.lit(SEED_SHARE)) == 0)
-    kth = topk(_stream(part, query_ids, limits, scorer), limits.k, ["query_id"]).where(F.col("rank") == limits.k)
+    kth = _finish(_stream(part, query_ids, limits, scorer), limits).where(F.col("rank") == limits.k)
     found = {r["query_id"]: r["score"] for r in kth.select("query_id", "score").collect()}
     return np.array([found.get(q, -np.inf) for q in query_ids.tolist()])
 
 
 def _finish(hits: DataFrame, limits: Limits) -> DataFrame:
+    if limits.span is not None:
+        # The rows of an item may lie in several tasks.
+        item = F.call_function("div", F.col("id") - F.pmod("id", F.lit(limits.span)), F.lit(limits.span))
+        best = hits.groupBy("query_id", item.alias("item")).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
+        hits = best.select("query_id", F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
     if limits.k is not None:
         return topk(hits, limits.k, ["query_id"])
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -149,14 +175,14 @@ def _unit(rows) -> np.ndarray:
 # ---------------------------------------------------------------- dense vectors
 
 def dense_search(queries: DataFrame, index: DataFrame, k: int | None = None, min_score: float | None = None,
-                 skip_self: bool = False, earlier_only: bool = False, ship_rows: int | None = None) -> DataFrame:
-    """Cosine hits ``(query_id, id, score, rank)``.
+                 skip_self: bool = False, earlier_only: bool = False, ship_rows: int | None = None, span: int | None = None) -> DataFrame:
+    """Cosine hits ``(query_id, id, score, rank)``; with ``span`` the best row of each item, and ``k`` counts items.
 
     ``queries``: ``query_id, vector``; ``index``: ``id, vector``; ids are whole numbers.
     """
     if k is None and min_score is None:
         raise ValueError("give k or min_score, otherwise every pair would be a hit")
-    limits = Limits(k, min_score, skip_self, earlier_only)
+    limits = Limits(k, min_score, skip_self, earlier_only, span=span)
     queries, index = queries.select("query_id", "vector"), index.select("id", "vector")
     block = frame_if_small(queries, SHIP_ROWS if ship_rows is None else ship_rows)
     if block is not None and len(block) * (len(block["vector"].iloc[0]) + (k or 1) if len(block) else 1) > SHIP_CELLS:
@@ -213,7 +239,8 @@ def _dense_tiles(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFr
                 continue
             near = np.clip(_unit(frame["vector"]) @ pivots.T, -1.0, 1.0)
             floors = np.full(len(frame), floor_cos)
-            if limits.k is not None and not limits.earlier_only and limits.k + spare <= near.shape[1]:
+            # Pivots may be rows of one item, so they bound no k-th item.
+            if limits.k is not None and limits.span is None and not limits.earlier_only and limits.k + spare <= near.shape[1]:
                 # k pivots (one more when the query itself may be one) already score this much.
                 kth = -np.partition(-near, limits.k + spare - 1, axis=1)[:, limits.k + spare - 1]
                 floors = np.maximum(floors, kth)
@@ -260,14 +287,14 @@ def _dense_tiles(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFr
 # ---------------------------------------------------------------- sparse vectors
 
 def sparse_search(queries: DataFrame, index: DataFrame, k: int | None = None, min_score: float | None = None,
-                  all_rows: bool = False, ship_cells: int | None = None, digits: int = SCORE_DIGITS) -> DataFrame:
-    """Hits by dot product over shared terms: ``(query_id, id, score, rank)``.
+                  all_rows: bool = False, ship_cells: int | None = None, digits: int = SCORE_DIGITS, span: int | None = None) -> DataFrame:
+    """Hits by dot product over shared terms: ``(query_id, id, score, rank)``; ``span`` as in ``dense_search``.
 
     Both sides carry ``idx`` (terms or their numbers, each once per row) and
     ``w``. Rows that share no term are no hits, unless ``all_rows`` lets them in
     with score zero (and weights may then be of either sign).
     """
-    limits = Limits(k, min_score, digits=digits)
+    limits = Limits(k, min_score, digits=digits, span=span)
     queries, index = queries.select("query_id", "idx", "w"), index.select("id", "idx", "w")
     block = frame_if_small(queries, SHIP_ROWS)
     if block is not None:

@@ -19,7 +19,7 @@ from labelgrid.session import rows_if_small, shared_folder, spread, through_tabl
 
 SEGMENT_SPAN = 1_000_000  # positions reserved for the segments of one item
 BRANCH_DEPTH = 1000  # segment hits each branch of the search service hands to the roll-up
-EVAL_DEPTH = 100_000  # the same for the evaluation, which reads whole indexes up to this size
+EVAL_DEPTH = 100_000  # items each branch of an evaluation reads, so whole indexes up to this size
 RRF_K = 60
 BM25_DIGITS = 6
 SHIP_TERMS = 1_000_000
@@ -68,16 +68,26 @@ def _sparse_side(df: DataFrame, id_col: str, name: str) -> DataFrame:
     return df.select(F.col(id_col).alias(name), F.col("sparse_idx").alias("idx"), F.col("sparse_w").alias("w"))
 
 
-def dense_segments(queries: DataFrame, index: DataFrame, depth: int, min_score: float | None = None) -> DataFrame:
-    hits = dense_search(_dense_side(queries, "query_id", "query_id"), _dense_side(index, "segment_id", "id"), depth, min_score)
+def dense_segments(queries: DataFrame, index: DataFrame, depth: int, min_score: float | None = None, span: int | None = None) -> DataFrame:
+    hits = dense_search(_dense_side(queries, "query_id", "query_id"), _dense_side(index, "segment_id", "id"), depth, min_score, span=span)
     return hits.withColumn("item_id", item_of(F.col("id")))
 
 
-def sparse_segments(queries: DataFrame, index: DataFrame, depth: int, min_score: float | None = None) -> DataFrame:
-    hits = sparse_search(_sparse_side(queries, "query_id", "query_id"), _sparse_side(index, "segment_id", "id"), depth, min_score)
+def sparse_segments(queries: DataFrame, index: DataFrame, depth: int, min_score: float | None = None, span: int | None = None) -> DataFrame:
+    hits = sparse_search(_sparse_side(queries, "query_id", "query_id"), _sparse_side(index, "segment_id", "id"), depth, min_score, span=span)
     return hits.withColumn("item_id", item_of(F.col("id")))
 
 
+def dense_items(queries: DataFrame, index: DataFrame, depth: int, min_score: float | None = None) -> DataFrame:
+    """Dense search for ``depth`` items, each by its best segment; segments are rolled up inside the tasks."""
+    return dense_segments(queries, index, depth, min_score, SEGMENT_SPAN).select("query_id", "item_id", "score", "rank")
+
+
+def sparse_items(queries: DataFrame, index: DataFrame, depth: int) -> DataFrame:
+    """Sparse search for ``depth`` items, as ``dense_items``."""
+    return sparse_segments(queries, index, depth, None, SEGMENT_SPAN).select("query_id", "item_id", "score", "rank")
+
+
 def dense_branch(queries: DataFrame, index: DataFrame, depth: int = BRANCH_DEPTH, min_score: float | None = None) -> DataFrame:
     """Dense search rolled up to items."""
     return rk.best_segment(dense_segments(queries, index, depth, min_score), ["query_id"])
@@ -102,18 +112,18 @@ def run_systems(queries: DataFrame, items: DataFrame, specs: dict[str, tuple[str
 
     ``specs``: system name -> (text column, segment mode, hybrid). Systems that
     share a text column and mode share one index. Each branch reads ``depth``
-    segments, or ``n`` if that is more, or the whole index if that is less.
+    items, or ``n`` if that is more, or the whole index if that is less.
     """
     encoded = encode_queries(queries, load_encoder)
     indexes = segment_indexes(items, sorted({(column, mode) for column, mode, _ in specs.values()}), load_encoder)
-    depths = {key: max(1, rk.branch_depth(index, n, depth).first()["depth"]) for key, index in indexes.items()}
+    depths = {key: max(1, rk.branch_depth(index.select("item_id").distinct(), n, depth).first()["depth"]) for key, index in indexes.items()}
     runs = []
     for system, (column, mode, hybrid) in specs.items():
         index, reach = indexes[column, mode], depths[column, mode]
         if hybrid:
-            run = hybrid_search(encoded, index, reach, n)
+            run = rk.rrf({"dense": dense_items(encoded, index, reach), "sparse": sparse_items(encoded, index, reach)}, RRF_K, n)
         else:
-            run = dense_branch(encoded, index, reach).where(F.col("rank") <= n)
+            run = dense_items(encoded, index, min(n, reach))
         runs.append(run.select(F.lit(system).alias("system"), "query_id", "item_id", "score", "rank"))
     return reduce(DataFrame.unionByName, runs)
 

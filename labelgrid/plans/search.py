@@ -90,6 +90,7 @@ SYSTEMS = {
     "whole_hybrid_full": ("text", "full", True),
     "whole_hybrid_segmented": ("text", "units", True),
 }
+EVERY = 10**12  # no cut: the tables hold fewer items than an evaluation reads
 # Semantic units under the segment ids of the index: the whole text is position 0.
 UNITS = """us AS (SELECT doc_id AS item_id, doc_id * 1000000 AS segment_id, whole AS segment_text FROM seg WHERE whole <> ''
   UNION ALL SELECT doc_id, doc_id * 1000000 + n, x FROM (SELECT doc_id, unnest(range(1, len(segs) + 1)) AS n, unnest(segs) AS x FROM seg WHERE len(segs) > 1))"""
@@ -103,9 +104,9 @@ def systems_sql() -> str:
         ctes.append(s.segments(f"{name}s", "fields", "doc_id", column, "full"))
     ctes += [segments_sql("text"), UNITS.replace("us AS", "gs AS", 1)]
     for name in "hbwg":
-        ctes += [s.encoded(name, f"{name}s", "segment_id", "segment_text"), s.dense_hits(f"{name}dh", "q", name, se.EVAL_DEPTH), s.rolled(f"{name}db", f"{name}dh")]
+        ctes += [s.encoded(name, f"{name}s", "segment_id", "segment_text"), s.dense_hits(f"{name}dh", "q", name, EVERY), s.rolled(f"{name}db", f"{name}dh")]
     for name in "wg":
-        ctes += [s.sparse_hits(f"{name}sh", "q", name, se.EVAL_DEPTH), s.rolled(f"{name}sb", f"{name}sh"), s.fused(f"{name}f", [f"{name}db", f"{name}sb"], 50)]
+        ctes += [s.sparse_hits(f"{name}sh", "q", name, EVERY), s.rolled(f"{name}sb", f"{name}sh"), s.fused(f"{name}f", [f"{name}db", f"{name}sb"], 50)]
     parts = [("head_dense", "hdb"), ("body_dense", "bdb"), ("whole_dense", "wdb"), ("whole_hybrid_full", "wf"), ("whole_hybrid_segmented", "gf")]
     return "WITH " + ",".join(ctes) + " UNION ALL ".join(
         f" SELECT '{n}' AS system, query_id, item_id, score, rank FROM {c} WHERE rank <= 50" for n, c in parts)
