@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from labelgrid.functions import text as tx
 from labelgrid.functions.labels import tag_norm
 from labelgrid.operators.numbering import last_id, number_rows, unique_slugs
+from labelgrid.session import through_table
 
 CI_AI = "UNICODE_CI_AI"  # equality without case and accents
 
@@ -360,6 +361,56 @@ def merge_labels(labels: DataFrame, bridge: DataFrame, merges: DataFrame) -> tup
     return after, relinked
 
 
+def merge_labels_by_name(labels: DataFrame, bridge: DataFrame, requests: DataFrame, color: str = "#6366f1") -> tuple[DataFrame, DataFrame]:
+    """Labels and links after the merges in ``requests(request_id, owner, source_ids, target_name)``.
+
+    The target is the source of that name (case ignored), else an active label of the owner with it, else a new label
+    with a free slug and the colour of the first source (``color`` where that is none). A target named otherwise gets the
+    new name and a fresh slug. Sources are relinked to the target and deactivated. Ids that are null or not positive are
+    ignored. Fewer than two sources, a source that is missing, inactive or another user's, and a blank name or one of more than 255
+    characters fail the job. Requests are one batch: a source or target of one must not be a source of another, which
+    fails too; of several names for one target the last request's holds.
+    """
+    name = F.coalesce(tx.strip(F.col("target_name")), F.lit(""))
+    ids = F.array_distinct(F.filter(F.coalesce("source_ids", F.array().cast("array<bigint>")), lambda x: x > 0))
+    refuse = lambda what: F.raise_error(F.concat(F.lit(f"{what}: request "), F.col("request_id").cast("string")))
+    asked = requests.select("request_id", "owner", name.alias("target_name"), ids.alias("ids"))
+    asked = asked.withColumn("ids", F.when(F.size("ids") < 2, refuse("fewer than two labels").cast("array<bigint>")).otherwise(F.col("ids")))
+    wrong = (F.col("target_name") == "") | (F.length("target_name") > 255)
+    asked = asked.withColumn("target_name", F.when(wrong, refuse("no valid target name").cast("string")).otherwise(F.col("target_name")))
+    asked = asked.withColumn("key", F.lower("target_name"))
+
+    own = labels.select("id", F.lower("name").alias("_key"), F.col("color").alias("_color"), F.col("created_by").alias("_owner"), F.col("is_active").alias("_active"))
+    usable = F.coalesce(F.col("_active") & (F.col("_owner") == F.col("owner")), F.lit(False))
+    sources = asked.select("*", F.explode("ids").alias("id")).drop("ids").join(own, "id", "left")
+    sources = through_table(sources.withColumn("id", F.when(usable, F.col("id")).otherwise(refuse("not an active label of the owner").cast("long"))), "merge-sources")
+    wanted = sources.groupBy("request_id", "owner", "target_name", "key").agg(
+        F.min(F.when(F.col("_key") == F.col("key"), F.col("id"))).alias("among"), F.min_by("_color", "id").alias("_color"))
+    named = own.where("_active").groupBy(F.col("_owner").alias("owner"), F.col("_key").alias("key")).agg(F.min("id").alias("found"))
+    wanted = wanted.join(named, ["owner", "key"], "left").withColumn("target_id", F.coalesce("among", "found"))
+
+    missing = wanted.where("target_id is null").groupBy("owner", "key").agg(
+        F.max_by("target_name", "request_id").alias("name"), F.min_by("_color", "request_id").alias("color"))
+    made = through_table(number_rows(missing, ["owner", "key"], "made", last_id(labels).first()[0]), "merge-targets")
+    targets = wanted.join(made.select("owner", "key", "made"), ["owner", "key"], "left")
+    targets = through_table(targets.select("request_id", "target_name", F.coalesce("target_id", "made").alias("target_id")), "merge-wanted")
+    used = sources.select("request_id", "id", F.lit(True).alias("source")).unionByName(targets.select("request_id", F.col("target_id").alias("id"), F.lit(False).alias("source")))
+    shared = used.groupBy("id").agg(F.min("request_id").alias("a"), F.max("request_id").alias("b"), F.bool_or("source").alias("source")).where("source and a <> b")
+    if not shared.isEmpty():
+        raise ValueError(f"a label is merged by two requests: {shared.first()['id']}")
+
+    names = targets.groupBy("target_id").agg(F.max_by("target_name", "request_id").alias("_name"))
+    renamed = labels.join(names, F.col("id") == F.col("target_id")).where("name <> _name").select("id", "_name")
+    fresh = renamed.select("id", tx.slug(F.col("_name")).alias("base")).unionByName(made.select(F.col("made").alias("id"), tx.slug(F.col("name")).alias("base")))
+    slugs = through_table(unique_slugs(fresh, labels.select("slug")).withColumnRenamed("slug", "_slug"), "merge-slugs")
+    values = {"id": F.col("made"), "name": F.col("name"), "color": tx.hex_color(F.col("color"), color), "created_by": F.col("owner"), "is_active": F.lit(True)}
+    created = made.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in labels.schema])
+    moves = sources.select("request_id", F.col("id").alias("source_id")).join(targets, "request_id").select("source_id", "target_id")
+    after, relinked = merge_labels(labels.unionByName(created), bridge, moves)
+    after = after.join(renamed, "id", "left").join(slugs, "id", "left")
+    return after.withColumn("name", F.coalesce("_name", "name")).withColumn("slug", F.coalesce("_slug", "slug")).select(*labels.columns), relinked
+
+
 def delete_labels(labels: DataFrame, ids: DataFrame, *bridges: DataFrame) -> tuple[DataFrame, ...]:
     """Unlink labels everywhere and deactivate them."""
     gone = ids.select(F.col("id"), F.lit(True).alias("_gone")).distinct()

@@ -433,6 +433,38 @@ def merge_labels_state(t):
     return merged(t)[0].select("id", "name", "is_active")
 
 
+# Each owner merges the red labels: into one of them renamed, into the owner's first old label, or into a new one.
+REQUESTS = """, src AS (SELECT id, name, created_by AS owner FROM labels WHERE is_active AND name LIKE 'red%'),
+rq AS (SELECT owner, CASE WHEN owner % 3 = 0 THEN upper(min(name)) WHEN owner % 3 = 1 THEN (SELECT min(name) FROM labels l WHERE l.is_active AND l.name LIKE 'old%' AND l.created_by = owner) ELSE 'Merged: ' || owner END AS target
+  FROM src GROUP BY owner HAVING count(*) > 1),
+tg AS (SELECT owner, target, (SELECT min(id) FROM labels l WHERE l.is_active AND l.created_by = owner AND lower(l.name) = lower(target)) AS known,
+  (SELECT max(id) FROM labels) + count(*) FILTER (owner % 3 = 2) OVER (ORDER BY owner) AS made FROM rq WHERE target IS NOT NULL),
+mv AS (SELECT id AS source_id, coalesce(known, made) AS target_id FROM src JOIN tg USING (owner))"""
+
+
+def merge_requests(t):
+    active = labels(t).where("is_active")
+    old = active.where("name like 'old%'").groupBy(F.col("created_by").alias("owner")).agg(F.min("name").alias("old"))
+    red = active.where("name like 'red%'").groupBy(F.col("created_by").alias("owner")).agg(F.collect_list("id").alias("source_ids"), F.upper(F.min("name")).alias("upper"))
+    target = F.when(F.col("owner") % 3 == 0, F.col("upper")).when(F.col("owner") % 3 == 1, F.col("old")).otherwise(F.concat(F.lit("Merged: "), F.col("owner").cast("string")))
+    requests = red.where("size(source_ids) > 1").join(old, "owner", "left").select(F.col("owner").alias("request_id"), "owner", "source_ids", target.alias("target_name")).where("target_name is not null")
+    return ca.merge_labels_by_name(labels(t), bridge(t), requests)
+
+
+@query("merge_labels_by_name", sql(REQUESTS + """ SELECT id, CASE WHEN tg.owner % 3 = 0 THEN target ELSE name END AS name,
+  CASE WHEN tg.owner IS NULL OR tg.owner % 3 = 1 THEN slug WHEN row_number() OVER (PARTITION BY tg.owner % 3 = 0, target ORDER BY id) = 1 THEN replace(lower(target), ' ', '-')
+    ELSE replace(lower(target), ' ', '-') || '-' || row_number() OVER (PARTITION BY tg.owner % 3 = 0, target ORDER BY id) END AS slug,
+  color, created_by, is_active AND id NOT IN (SELECT source_id FROM mv WHERE source_id <> target_id) AS is_active FROM labels LEFT JOIN tg ON id = known
+UNION ALL SELECT made, target, 'merged-' || owner, '#6366f1', owner, true FROM tg WHERE known IS NULL"""))
+def merge_labels_by_name(t):
+    return merge_requests(t)[0].select("id", "name", "slug", "color", "created_by", "is_active")
+
+
+@query("merge_labels_by_name_links", sql(REQUESTS + " SELECT DISTINCT image_id, coalesce(target_id, label_id) AS label_id FROM bridge LEFT JOIN mv ON source_id = label_id"))
+def merge_labels_by_name_links(t):
+    return merge_requests(t)[1]
+
+
 @query("delete_labels", sql(""", gone AS (SELECT id FROM labels WHERE created_by = 3)
 SELECT 'label' AS kind, id, CASE WHEN is_active AND id NOT IN (SELECT id FROM gone) THEN 1 ELSE 0 END AS n FROM labels
 UNION ALL SELECT 'item link', label_id, count(*) FROM bridge WHERE label_id NOT IN (SELECT id FROM gone) GROUP BY label_id
