@@ -199,9 +199,3 @@ def compute_missing(items: DataFrame, cache: DataFrame, key: str, compute: Calla
     """The cache plus ``compute`` run over only those items whose key it lacks."""
     missing = items.join(cache.select(key), key, "left_anti")
     return cache.unionByName(compute(missing).select(*cache.columns))
-
-
-def term_vectors(df: DataFrame, column: str, *keep: str) -> DataFrame:
-    """Only the vectors of ``column`` next to the ``keep`` columns."""
-    encoded = encode_column(df.select(*keep, F.col(column).alias("_text")), "_text")
-    return encoded.drop("_text")

@@ -113,11 +113,6 @@ def random_row(df: DataFrame, key: str, seed: int) -> DataFrame:
     return hash_sample(df, key, 1, seed)
 
 
-def blank_template(spark, groups: list[str], n: int) -> DataFrame:
-    """``n`` empty rows for each group."""
-    return (
-        spark.range(1)
-        .select(F.explode(F.array(*[F.lit(g) for g in groups])).alias("group"))
-        .select("group", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("position"))
-        .select(F.lit("").alias("item_id"), "group", "position", F.lit("").alias("legibility"))
-    )
+def blank_template(groups: DataFrame, n: int) -> DataFrame:
+    """``n`` empty rows for each row of ``groups(group)``."""
+    return groups.select(F.lit("").alias("item_id"), "group", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("position"), F.lit("").alias("legibility"))

@@ -53,7 +53,7 @@ class Limits:
 
 
 class TopBuffer:
-    """Running best hits of every query of a block; all passing hits when there is no k."""
+    """Running best hits of every query of a block; without a k all passing hits, to be taken out block by block."""
 
     def __init__(self, query_ids: np.ndarray, limits: Limits, floors: np.ndarray | None):
         self.query_ids, self.limits, self.floors = query_ids, limits, floors
@@ -136,6 +136,9 @@ def _stream(index: DataFrame, query_ids: np.ndarray, limits: Limits, scorer: Cal
         for frame in frames:
             for scores, ids, allowed in scorer(frame):
                 buffer.add(scores, ids, allowed)
+                if limits.k is None:
+                    yield from buffer.frames()
+                    buffer.parts, buffer.held = [], 0
         yield from buffer.frames()
 
     return index.mapInPandas(run, HITS)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -216,6 +215,8 @@ def lexical_hits(queries: DataFrame, items: DataFrame, ship_rows: int | None = N
         wanted.setdefault(r["needle"], []).append(r["query_id"])
 
     def scan(frames):
+        import ahocorasick
+
         automaton = ahocorasick.Automaton()
         for needle, ids in wanted.items():
             automaton.add_word(needle, (needle, ids))

@@ -578,5 +578,4 @@ def random_item(t):
 @query("blank_template", "SELECT '' AS item_id, lang AS \"group\", n AS position, '' AS legibility FROM (SELECT DISTINCT lang FROM documents), range(1, 11) r(n)")
 def blank_template(t):
     """Ten empty rows for each language found in the documents."""
-    groups = t.documents.select(F.col("lang").alias("group")).distinct()
-    return groups.select(F.lit("").alias("item_id"), "group", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("position"), F.lit("").alias("legibility"))
+    return rk.blank_template(t.documents.select(F.col("lang").alias("group")).distinct(), 10)

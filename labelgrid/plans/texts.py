@@ -12,6 +12,7 @@ from labelgrid.operators.search import segments_of
 from labelgrid.plans import sqltext as s
 from labelgrid.plans.registry import query
 from labelgrid.session import spread
+from labelgrid.sources.index import evaluation_segments
 
 
 def docs(t):
@@ -61,11 +62,7 @@ def semantic_segments(t):
 SELECT doc_id, doc_id || ':full' AS segment_id, 'full' AS segment_type, whole AS segment_text FROM seg WHERE whole <> ''
 UNION ALL SELECT doc_id, format('{{}}:segment:{{:03d}}', doc_id, n), 'segment', s FROM (SELECT doc_id, unnest(range(1, len(segs) + 1)) AS n, unnest(segs) AS s FROM seg WHERE len(segs) > 1)""")
 def text_units(t):
-    unit = F.posexplode(tx.text_units(F.col("text"), "full_plus_segments")).alias("pos", "u")
-    rows = docs(t).select("doc_id", unit)
-    key = F.when(F.col("u.segment_type") == "full", F.concat(F.col("doc_id").cast("string"), F.lit(":full"))).otherwise(
-        F.format_string("%s:segment:%03d", F.col("doc_id").cast("string"), F.col("pos")))
-    return rows.select("doc_id", key.alias("segment_id"), "u.segment_type", "u.segment_text")
+    return evaluation_segments(spread(items(t)), "full_plus_segments").withColumnRenamed("item_id", "doc_id")
 
 
 @query("text_units_full", r"SELECT doc_id, 'full' AS segment_type, trim(regexp_replace(text, '\s+', ' ', 'g')) AS segment_text FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''")

@@ -39,6 +39,15 @@ def json_text_cache(t):
     return fi.read_text_cache(t.spark, path, whole_file=False)
 
 
+@query("catalog_table", pc.sql(""" SELECT id, name, slug, description, color, created_by, is_active, NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at FROM labels"""))
+def catalog_table(t):
+    """The labels written as a catalogue table and read under the catalogue's schema."""
+    path = shared_folder(t.spark, "catalog")
+    none = F.lit(None).cast("timestamp_ntz")
+    pc.labels(t).withColumns({"created_at": none, "updated_at": none}).write.parquet(f"{path}/labels")
+    return fi.read_catalog(t.spark, "labels", path)
+
+
 QREL_PATTERN = r"^\d+\z"
 
 
