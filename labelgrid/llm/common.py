@@ -19,6 +19,7 @@ from labelgrid.session import ship_package, through_table
 
 BLOCK = 2 << 20
 BATCH = 8 << 20
+ROW = "row_no__"
 
 # Blank characters of the contracts: the space and \x09-\x0D.
 BLANKS = np.zeros(256, bool)
@@ -213,6 +214,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """All columns, written with a number ``ROW`` for each row: a key where ids are null or stand for several texts."""
+    return through_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open spans as disjoint, ascending spans; touching spans become one."""
     if not len(starts):
@@ -225,6 +231,6 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 __all__ = [
-    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "Words", "blocks_of", "grams", "id_and_text", "map_texts",
-    "merge_spans", "mix", "sliding", "small_batches", "through_table",
+    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "ROW", "Words", "blocks_of", "grams", "id_and_text", "map_texts",
+    "merge_spans", "mix", "numbered", "sliding", "small_batches", "through_table",
 ]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.common import BLANKS, Block, id_and_text, map_texts, through_table
+from labelgrid.llm.common import BLANKS, ROW, Block, id_and_text, map_texts, numbered, through_table
 from labelgrid.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -269,13 +269,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, bucket_size: int = BUCKET) -> DataFrame:
-    """Rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, once.
+    """Rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, of equal ids the first row.
 
-    Ids to drop are sent to the texts, as they are the few. A row without a doc_id cannot be named and stays.
+    Rows are told apart by their number in the input, not by doc_id, so an id may stand for several texts. A null doc_id comes after all others.
+    Numbers to drop are sent to the texts, as they are the few.
     """
-    groups = through_table(near_duplicates(docs, shingle, distance, bucket_size), "near-duplicates")
-    drop = through_table(groups.where("doc_id <> component_id").select("doc_id").distinct(), "later-copies")
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    rows = numbered(docs)
+    by_row = rows.select(F.col(ROW).alias("doc_id"), F.col("text"))
+    groups = near_duplicates(by_row, shingle, distance, bucket_size).select(F.col("doc_id").alias(ROW), "component_id")
+    groups = through_table(groups.join(rows.select(ROW, "doc_id"), ROW), "near-duplicates")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
+    kept = groups.groupBy("component_id").agg(F.min(rank).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    drop = through_table(groups.select(ROW).join(kept, ROW, "left_anti"), "later-copies")
+    return rows.join(drop, ROW, "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from labelgrid.llm import jaccard_dedup
+from labelgrid.llm import jaccard_dedup, simhash
 
 from . import brute
 
@@ -70,3 +70,22 @@ def test_near_duplicate_stage_takes_five_words_at_four_fifths(spark):
 
 def test_similar_texts_of_an_empty_table(spark):
     assert jaccard_dedup.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_of_each_by_row(spark):
+    """One id with two texts, rows of one id and text, and null ids with and without a named copy."""
+    texts = ["alpha beta gamma delta", "quite another text of words", "third and last of the texts", "only nameless rows have this", "named and nameless alike now"]
+    docs = [(1, 0), (2, 0), (2, 1), (2, 1), (3, 2), (None, 3), (None, 3), (None, 4), (9, 4), (0, 2)]
+    frame = spark.createDataFrame([(i, texts[t], n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, n int").coalesce(1)
+    for kept in (simhash.one_of_each(frame), jaccard_dedup.one_of_each(frame)):
+        assert kept.columns == frame.columns
+        assert sorted(r["n"] for r in kept.collect()) == [0, 2, 5, 8, 9]
+
+
+def test_leaks_are_dropped_by_row(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([("a", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "clean text"), (1, f"with {passage}"), (None, passage), (None, "clean too"), (2, passage), (3, None)]
+    frame = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, n int")
+    kept = corpus_pipeline.drop_benchmark_leaks(spark, frame, str(tmp_path))
+    assert kept.columns == frame.columns and sorted(r["n"] for r in kept.collect()) == [0, 3, 5]
