@@ -12,7 +12,8 @@ admits more candidates but loses none. Candidates carry the few words around the
 Items with equal surroundings share one row until the end.
 
 Nulls and texts without words have no words and no hits; an item without words has no windows. A doc_id that
-occurs twice is judged row by row; equal item ids count once. Other columns are ignored.
+occurs twice is judged row by row; equal item ids count once. An item without an id counts in ``n_hit`` and ``contaminated`` but
+is not named in ``items``. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         lambda s: s["n"],
     )
     named = found.select("row_no", F.explode("item_ids").alias("item_id")).distinct().groupBy("row_no").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    per_row = cover.select("row_no", merged.cast("bigint").alias("n_hit"), F.col("parts").alias("spans")).join(named, "row_no")
+    per_row = cover.select("row_no", merged.cast("bigint").alias("n_hit"), F.col("parts").alias("spans")).join(named, "row_no", "left")
     return (
         base.select("row_no", "doc_id", "n_words").join(per_row, "row_no", "left")
         .select(

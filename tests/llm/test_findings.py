@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from labelgrid.llm import jaccard_dedup, simhash
+from labelgrid.llm import decontaminate, jaccard_dedup, simhash
 
 from . import brute
 
@@ -89,3 +89,10 @@ def test_leaks_are_dropped_by_row(spark, tmp_path):
     frame = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, n int")
     kept = corpus_pipeline.drop_benchmark_leaks(spark, frame, str(tmp_path))
     assert kept.columns == frame.columns and sorted(r["n"] for r in kept.collect()) == [0, 3, 5]
+
+
+def test_item_without_an_id_contaminates(spark):
+    items = spark.createDataFrame([(None, "one two three"), ("b", "four five"), (None, "four five")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "four five"), (3, "three four")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert found == {1: (3, [], True), 2: (2, ["b"], True), 3: (0, [], False)}
