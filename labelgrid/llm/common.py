@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from labelgrid.session import ship_package, through_table
+from labelgrid.session import shared_folder, ship_package, through_table
 
 BLOCK = 2 << 20
 BATCH = 8 << 20
@@ -219,6 +219,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     return through_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written below the shared checkpoint folder, with its partitions and their order as they are."""
+    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession, "checkpoint")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
+
+
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open spans as disjoint, ascending spans; touching spans become one."""
     if not len(starts):
@@ -231,6 +240,6 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 __all__ = [
-    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "ROW", "Words", "blocks_of", "grams", "id_and_text", "map_texts",
+    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "ROW", "Words", "blocks_of", "checkpointed", "grams", "id_and_text", "map_texts",
     "merge_spans", "mix", "numbered", "sliding", "small_batches", "through_table",
 ]

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: production parameters, whole tables."""
+"""The registered queries of the operators: production parameters, whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrid.llm import bpe, classifier, decontaminate, licenses, line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup, token_files
+from labelgrid.llm import bpe, classifier, conversation_trie, decontaminate, licenses, line_dedup, phrases, quality_rules, simhash, substring_dedup, suffix_dedup, token_files, warc
+from labelgrid.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +76,40 @@ SQL10 = f"""WITH {_ROWS.format(_WORDS)}, {_covered("c", substring_dedup.SIZE, "k
 n AS (SELECT r, count(*) FILTER (hit) AS n_removed, string_agg(w[i], ' ' ORDER BY i) FILTER (NOT hit) AS kept FROM c JOIN p USING (r, i) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r)"""
 
+SQL11 = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, x, count(*) AS a FROM (SELECT lang, w[i : i + k - 1] AS x FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, {phrases.MAX_WORDS + 1}) AS q(k) WHERE len(w) >= k))
+  GROUP BY lang, x HAVING count(*) >= {phrases.MIN_COUNT}),
+c AS (SELECT lang, x, a FROM f WHERE len(x) > 1),
+s AS (SELECT lang, x[i : i + k - 1] AS x, max(a) AS longer FROM (SELECT lang, x, a, k, unnest(range(1, len(x) - k + 2)) AS i FROM c, range(2, {phrases.MAX_WORDS}) AS q(k) WHERE k < len(x)) GROUP BY ALL),
+v AS (SELECT c.* FROM c LEFT JOIN s USING (lang, x) WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST({phrases.COVER} AS HUGEINT) * c.a),
+t AS (SELECT v.lang, v.x, v.a, k, CAST((CAST(2000000 AS HUGEINT) * v.a) // (l.a + r.a) AS BIGINT) AS score, l.a AS l, r.a AS r FROM (SELECT *, unnest(range(1, len(x))) AS k FROM v) v
+  JOIN f l ON l.lang = v.lang AND l.x = v.x[: k] JOIN f r ON r.lang = v.lang AND r.x = v.x[k + 1 :]),
+b AS (SELECT lang, x, a, score, l, r FROM t QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(x, ' ')) AS rank, array_to_string(x, ' ') AS phrase, a, l, r, n, score
+FROM b JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}"""
+
+_DIGITS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_BASE32 = f"""array_to_string(list_transform(range(32), lambda i: substr({_DIGITS}, 1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '')"""
+SQL12 = f"""WITH p AS (SELECT row_number() OVER () AS o, page_id, url, coalesce(html, '') AS h FROM pages),
+r AS (SELECT *, sha1(h) AS x, first_value(o) OVER w AS top, first_value(page_id) OVER w AS head FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, url NULLS FIRST, o))
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN o = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN o <> top THEN head END AS refers_to FROM r"""
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+  lambda i: [CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+SQL13 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(concat(length(role), ':', role, text))) AS x FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, x, conv_id - conv_id % {conversation_trie.FAMILY} AS base, {_CRC32} % {conversation_trie.HEADS} AS h FROM own),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.x[1 : h], []), h.x[h + 1 :]) AS x FROM h LEFT JOIN own b ON b.conv_id = h.base),
+m AS (SELECT conv_id, d, x[1 : d] AS x, d = len(x) AS ends FROM (SELECT conv_id, x, unnest(range(len(x) + 1)) AS d FROM c)),
+v AS (SELECT md5(CAST(x AS VARCHAR) || d) AS k, any_value(x) AS x, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS e FROM m GROUP BY x, d),
+u AS (SELECT *, CASE WHEN d > 0 THEN md5(CAST(x[1 : d - 1] AS VARCHAR) || (d - 1)) END AS up, CASE WHEN d > 0 THEN (n - 1) * len(regexp_extract_all(x[d].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS saved FROM v),
+kids AS (SELECT up AS k, count(*) AS kids FROM u WHERE d > 0 GROUP BY up),
+a AS (SELECT top, count(*) FILTER (kids IS NULL) AS leaves, sum(saved) AS saved FROM (SELECT k, saved, md5(CAST(x[1 : j] AS VARCHAR) || j) AS top FROM (SELECT k, x, saved, unnest(range(d + 1)) AS j FROM u)) LEFT JOIN kids USING (k) GROUP BY top)
+SELECT u.conv_id, u.d AS depth, p.conv_id AS parent_conv_id, u.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, u.e AS ends_sha256
+FROM u JOIN a ON a.top = u.k LEFT JOIN kids ON kids.k = u.k LEFT JOIN u p ON p.k = u.up"""
+
 
 @query("op1_decontaminate", SQL1)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,3 +166,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.drop_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_collocations", SQL11)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query("op12_warc", SQL12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    archives = shared_folder(spark, "warc")
+    warc.write(table(spark, folder, "pages"), archives)
+    return warc.read(spark, archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_conversation_trie", SQL13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
