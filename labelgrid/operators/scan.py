@@ -50,6 +50,7 @@ class Limits:
     earlier_only: bool = False
     digits: int = SCORE_DIGITS
     span: int | None = None  # ids of one item share ``id // span``; then k counts items, each with its best row
+    links: bool = False  # instead of hits, a forest over them and how many each query has
 
 
 class TopBuffer:
@@ -123,6 +124,57 @@ class TopBuffer:
                 yield pd.DataFrame({"query_id": self.query_ids[q[cut]], "id": ids[cut], "score": scores[cut]})
 
 
+class LinkBuffer:
+    """Hits of a block as a forest: of any number of pairs no more links stay than there are rows, and the number of hits of each query."""
+
+    def __init__(self, query_ids: np.ndarray, limits: Limits):
+        self.query_ids, self.limits = query_ids, limits
+        self.counts = np.zeros(len(query_ids), np.int64)
+        self.pairs: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        keep = np.round(scores, self.limits.digits) >= self.limits.min_score
+        if allowed is not None:
+            keep &= allowed
+        if self.limits.earlier_only:
+            keep &= ids[None, :] < self.query_ids[:, None]
+        q, d = np.nonzero(keep)
+        self.counts += np.bincount(q, minlength=len(self.query_ids))
+        self.pairs.append(np.stack([self.query_ids[q], ids[d]], 1))
+        self.held += len(q)
+        if self.held > 1_000_000:
+            self.shrink()
+
+    def shrink(self) -> None:
+        pairs = np.concatenate(self.pairs) if self.pairs else np.zeros((0, 2), np.int64)
+        nodes, place = np.unique(pairs, return_inverse=True)
+        place, label = place.reshape(-1, 2), np.arange(len(nodes))
+        a, b = place[:, 0], place[:, 1]
+        while True:
+            x, y = label[a], label[b]
+            far = x != y
+            if not far.any():
+                break
+            a, b, x, y = a[far], b[far], x[far], y[far]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
+        joined = np.flatnonzero(label != np.arange(len(nodes)))
+        self.pairs = [np.stack([nodes[joined], nodes[label[joined]]], 1)]
+        self.held = len(joined)
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        self.shrink()
+        some = np.flatnonzero(self.counts)
+        own = self.query_ids[some]
+        for a, b, n in ((self.pairs[0][:, 0], self.pairs[0][:, 1], np.full(len(self.pairs[0]), -1.0)), (own, own, self.counts[some].astype(np.float64))):
+            for at in range(0, len(a), 100_000):
+                cut = slice(at, at + 100_000)
+                yield pd.DataFrame({"query_id": a[cut], "id": b[cut], "score": n[cut]})
+        self.pairs, self.held, self.counts = [], 0, np.zeros(len(self.query_ids), np.int64)
+
+
 HITS = T.StructType([
     T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())
 ])
@@ -132,11 +184,11 @@ def _stream(index: DataFrame, query_ids: np.ndarray, limits: Limits, scorer: Cal
     """One pass over the index; ``scorer(frame)`` yields (scores, ids, allowed) blocks."""
 
     def run(frames):
-        buffer = TopBuffer(query_ids, limits, floors)
+        buffer = LinkBuffer(query_ids, limits) if limits.links else TopBuffer(query_ids, limits, floors)
         for frame in frames:
             for scores, ids, allowed in scorer(frame):
                 buffer.add(scores, ids, allowed)
-                if limits.k is None:
+                if limits.k is None and not limits.links:
                     yield from buffer.frames()
                     buffer.parts, buffer.held = [], 0
         yield from buffer.frames()
@@ -186,17 +238,40 @@ def dense_search(queries: DataFrame, index: DataFrame, k: int | None = None, min
     if k is None and min_score is None:
         raise ValueError("give k or min_score, otherwise every pair would be a hit")
     limits = Limits(k, min_score, skip_self, earlier_only, span=span)
+    return _finish(_dense_hits(queries, index, limits, ship_rows), limits)
+
+
+def dense_links(rows: DataFrame, min_score: float, ship_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) whose components are those of all pairs of ``rows`` (id, vector) of at least that score, and how many earlier partners each id has (id, n).
+
+    A group of n near copies puts out about n links a task, not its pairs.
+    """
+    limits = Limits(None, min_score, earlier_only=True, links=True)
+    rows = rows.select("id", "vector")
+    found = through_table(_dense_hits(rows.withColumnRenamed("id", "query_id"), rows, limits, ship_rows), "vector-links")
+    links = found.where("score < 0").select(F.col("query_id").alias("a"), F.col("id").alias("b"))
+    return links, found.where("score > 0").groupBy("id").agg(F.sum("score").cast("long").alias("n"))
+
+
+def _dense_hits(queries: DataFrame, index: DataFrame, limits: Limits, ship_rows: int | None) -> DataFrame:
+    k = limits.k
     queries, index = queries.select("query_id", "vector"), index.select("id", "vector")
     block = frame_if_small(queries, SHIP_ROWS if ship_rows is None else ship_rows)
     if block is not None and len(block) * (len(block["vector"].iloc[0]) + (k or 1) if len(block) else 1) > SHIP_CELLS:
         block = None
     if block is None:
-        return _finish(_dense_tiles(queries, index, limits), limits)
+        return _dense_tiles(queries, index, limits)
     if not len(block):
-        return index.sparkSession.createDataFrame([], HITS).withColumn("rank", F.lit(1))
+        return index.sparkSession.createDataFrame([], HITS)
+    query_ids, scorer = dense_scorer(index.sparkSession, block)
+    return _stream(index, query_ids, limits, scorer, _seed_floors(index, query_ids, limits, scorer))
+
+
+def dense_scorer(spark, block: pd.DataFrame) -> tuple[np.ndarray, Callable]:
+    """Query ids of a block in ascending order, and what yields (scores, ids, None) of all of them for the rows of a frame (id, vector)."""
     block = block.sort_values("query_id")
     query_ids = block["query_id"].to_numpy(np.int64)
-    matrix = index.sparkSession.sparkContext.broadcast(_unit(block["vector"]))
+    matrix = spark.sparkContext.broadcast(_unit(block["vector"]))
     step = max(1, BLOCK_CELLS // len(query_ids))
 
     def scorer(frame):
@@ -205,7 +280,7 @@ def dense_search(queries: DataFrame, index: DataFrame, k: int | None = None, min
             part = _unit(frame["vector"].iloc[at : at + step])
             yield matrix.value @ part.T, ids[at : at + step], None
 
-    return _finish(_stream(index, query_ids, limits, scorer, _seed_floors(index, query_ids, limits, scorer)), limits)
+    return query_ids, scorer
 
 
 def _dense_tiles(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFrame:
@@ -275,7 +350,8 @@ def _dense_tiles(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFr
     def tile(key, qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ds):
             return nothing
-        buffer = TopBuffer(qs["query_id"].to_numpy(np.int64), limits, None)
+        query_ids = qs["query_id"].to_numpy(np.int64)
+        buffer = LinkBuffer(query_ids, limits) if limits.links else TopBuffer(query_ids, limits, None)
         matrix, ids = _unit(qs["vector"]), ds["id"].to_numpy(np.int64)
         step = max(1, BLOCK_CELLS // len(qs))
         for at in range(0, len(ds), step):
@@ -300,21 +376,29 @@ def sparse_search(queries: DataFrame, index: DataFrame, k: int | None = None, mi
     limits = Limits(k, min_score, digits=digits, span=span)
     queries, index = queries.select("query_id", "idx", "w"), index.select("id", "idx", "w")
     block = frame_if_small(queries, SHIP_ROWS)
-    if block is not None:
-        block = block.sort_values("query_id")
-        vocabulary = pd.Index(sorted({t for terms in block["idx"] for t in terms}))
-        if len(block) * max(1, len(vocabulary) + (k or 1)) > (TERM_CELLS if ship_cells is None else ship_cells):
-            block = None
+    if block is not None and len(block) * max(1, len(terms_of(block)) + (k or 1)) > (TERM_CELLS if ship_cells is None else ship_cells):
+        block = None
     if block is None:
         return _finish(_sparse_join(queries, index, limits, all_rows), limits)
-    if not len(block) or (not len(vocabulary) and not all_rows):
+    if not len(block) or (not len(terms_of(block)) and not all_rows):
         return index.sparkSession.createDataFrame([], HITS).withColumn("rank", F.lit(1))
+    query_ids, scorer = sparse_scorer(index.sparkSession, block, all_rows)
+    return _finish(_stream(index, query_ids, limits, scorer, _seed_floors(index, query_ids, limits, scorer)), limits)
+
+
+def terms_of(block: pd.DataFrame) -> pd.Index:
+    return pd.Index(sorted({t for terms in block["idx"] for t in terms}))
+
+
+def sparse_scorer(spark, block: pd.DataFrame, all_rows: bool = False) -> tuple[np.ndarray, Callable]:
+    """As ``dense_scorer`` for frames (id, idx, w); without ``all_rows`` only rows that share a term are allowed."""
+    block, vocabulary = block.sort_values("query_id"), terms_of(block)
     query_ids = block["query_id"].to_numpy(np.int64)
     matrix = np.zeros((len(block), max(1, len(vocabulary))))
     for at, (terms, weights) in enumerate(zip(block["idx"], block["w"])):
         if len(terms):
             matrix[at, vocabulary.get_indexer(terms)] = weights
-    per_term = index.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix.T))
+    per_term = spark.sparkContext.broadcast(np.ascontiguousarray(matrix.T))
     held = max(1, BLOCK_CELLS // len(query_ids))
 
     def scorer(frame):
@@ -343,7 +427,7 @@ def sparse_search(queries: DataFrame, index: DataFrame, k: int | None = None, mi
             yield scores.T, ids[at:upto], None if all_rows else scores.T > 0
             at = upto
 
-    return _finish(_stream(index, query_ids, limits, scorer, _seed_floors(index, query_ids, limits, scorer)), limits)
+    return query_ids, scorer
 
 
 def sparse_scores(queries: DataFrame, index: DataFrame, digits: int = SCORE_DIGITS) -> DataFrame:

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from labelgrid.functions import text as tx
 from labelgrid.functions import vectors as vec
 from labelgrid.operators import ranking as rk
+from labelgrid.operators.components import components
 from labelgrid.operators.encode import HashingEncoder, count_terms, encode_column
-from labelgrid.operators.scan import dense_search, sparse_search
+from labelgrid.operators.fused import fused_items, reach_of
+from labelgrid.operators.scan import dense_links, dense_search, sparse_search
 from labelgrid.session import rows_if_small, shared_folder, spread, through_table
 
 SEGMENT_SPAN = 1_000_000  # positions reserved for the segments of one item
 BRANCH_DEPTH = 1000  # segment hits each branch of the search service hands to the roll-up
-EVAL_DEPTH = 100_000  # items each branch of an evaluation reads, so whole indexes up to this size
 RRF_K = 60
 BM25_DIGITS = 6
 SHIP_TERMS = 1_000_000
@@ -106,23 +107,24 @@ def hybrid_search(queries: DataFrame, index: DataFrame, depth: int = BRANCH_DEPT
     return rk.rrf(branches, RRF_K, n)
 
 
-def run_systems(queries: DataFrame, items: DataFrame, specs: dict[str, tuple[str, str, bool]], n: int = 50, depth: int = EVAL_DEPTH, load_encoder=HashingEncoder) -> DataFrame:
+def run_systems(queries: DataFrame, items: DataFrame, specs: dict[str, tuple[str, str, bool]], n: int = 50, load_encoder=HashingEncoder) -> DataFrame:
     """All systems over all queries: ``system, query_id, item_id, score, rank``.
 
-    ``specs``: system name -> (text column, segment mode, hybrid). Systems that
-    share a text column and mode share one index. Each branch reads ``depth``
-    items, or ``n`` if that is more, or the whole index if that is less.
+    ``specs``: system name -> (text column, segment mode, hybrid). Systems that share a text column and mode share one index and one dense search of it.
+    Hybrid rankings are those of whole branches, of which only the first items are listed and the ranks of candidates counted.
     """
     encoded = encode_queries(queries, load_encoder)
     indexes = segment_indexes(items, sorted({(column, mode) for column, mode, _ in specs.values()}), load_encoder)
-    depths = {key: max(1, rk.branch_depth(index.select("item_id").distinct(), n, depth).first()["depth"]) for key, index in indexes.items()}
+    reach, near, mixed = reach_of(n, RRF_K), {}, {}
+    for key in indexes:
+        hybrid = any(own and (column, mode) == key for column, mode, own in specs.values())
+        near[key] = through_table(dense_items(encoded, indexes[key], reach if hybrid else n), "dense-items")
+        if hybrid:
+            shared = through_table(sparse_items(encoded, indexes[key], reach), "sparse-items")
+            mixed[key] = fused_items(encoded, indexes[key], near[key], shared, SEGMENT_SPAN, n, RRF_K)
     runs = []
     for system, (column, mode, hybrid) in specs.items():
-        index, reach = indexes[column, mode], depths[column, mode]
-        if hybrid:
-            run = rk.rrf({"dense": dense_items(encoded, index, reach), "sparse": sparse_items(encoded, index, reach)}, RRF_K, n)
-        else:
-            run = dense_items(encoded, index, min(n, reach))
+        run = mixed[column, mode] if hybrid else near[column, mode].where(F.col("rank") <= n)
         runs.append(run.select(F.lit(system).alias("system"), "query_id", "item_id", "score", "rank"))
     return reduce(DataFrame.unionByName, runs)
 
@@ -329,28 +331,123 @@ def token_jaccard(pairs: DataFrame, texts: DataFrame, left: str, right: str) ->
     ).drop("ta", "tb")
 
 
+GATE_ITEMS, GATE_PAIRS = 50_000, 1_000_000  # most items and candidate pairs of a component that one task settles
+INDEXED = 1 << 52  # indexed items come before all arriving ones, in their own order; whole numbers that a double holds
+GATE_ROWS = [("match_id", "long"), ("score", "double"), ("verify", "double")]
+
+
 def duplicate_gate(items: DataFrame, threshold: float = 0.95, verify_above: float = 0.9, force: bool = False, verify=token_jaccard, index: DataFrame | None = None) -> DataFrame:
     """Every arriving item with the verdict ``duplicate`` or ``new``.
 
     ``items``: ``id, text, vector``, ids from 0 in order of arrival; ``index`` holds what is there already, in the same form. An item is a
     duplicate if the nearest of the indexed and the earlier accepted items scores above the threshold and passes the verification; a rejected
-    item is nobody's match. An indexed match is given as ``-1 - id``.
+    item is nobody's match. An indexed match is given as ``-1 - id``. Ties go to the earliest, indexed items first, so verdicts do not depend on how arrivals are
+    cut into batches.
 
-    Verdicts are settled in rounds: an item whose nearest candidate is accepted is judged, one whose candidate was
-    rejected looks again among the others, one whose candidate is open waits. Each round settles the earliest open item.
+    Items that cannot meet, whatever the verdicts, lie in different components of the graph of all pairs above the threshold, so components are settled apart, each in order of arrival, in a
+    number of jobs that does not depend on the data. Candidates are listed and verified only for components within ``GATE_ITEMS`` and ``GATE_PAIRS``; what is larger is settled in rounds.
+    Items of one vector and text are one candidate, unless the caller brings a verification of their own.
     """
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in GATE_ROWS]
     if force:
-        return items.select("id", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("double").alias("score"),
-                            F.lit(None).cast("double").alias("verify"), F.lit("new").alias("status"))
-    # Rounds read the items again and again; what made them shall not run each time.
+        return items.select("id", *nothing, F.lit("new").alias("status"))
     items = through_table(items.select("id", "text", "vector"), "gate-items")
-    pool = items
-    near = near_duplicates(items, threshold)
+    old, indexed = None, None
+    texts = items.select("id", "text")
     if index is not None:
-        old = index.select((-F.col("id") - 1).alias("id"), "text", "vector")
+        old = index.select((F.col("id") - INDEXED).alias("id"), "text", "vector")
+        texts = texts.unionByName(old.select("id", "text"))
+        indexed = _above(items, old, threshold)
+        indexed = through_table(verify(through_table(indexed, "gate-indexed"), texts, "id", "match_id").select("id", "match_id", "score", "verify"), "gate-verified")
+
+    groups = through_table(items.groupBy("vector").agg(F.min("id").alias("vec")).where(vec.norm2(F.col("vector")) > 0), "gate-vectors")
+    links, partners = dense_links(groups.select(F.col("vec").alias("id"), "vector"), threshold)
+    look = F.xxhash64("text") if verify is token_jaccard else F.col("id")
+    named = through_table(items.select("id", "vector", look.alias("look"), F.md5(F.coalesce("text", F.lit("")) if verify is token_jaccard else F.col("id").cast("string")).alias("digest")).join(groups, "vector").drop("vector"), "gate-named")
+    kinds = named.groupBy("vec", "look", "digest").agg(F.min("id").alias("kind"), F.count(F.lit(1)).alias("copies"))
+    roots = components(links).withColumnRenamed("node", "vec")
+    vectors = groups.select("vec").join(roots, "vec", "left").join(partners.withColumnRenamed("id", "vec"), "vec", "left")
+    kinds = through_table(kinds.join(vectors.select("vec", F.coalesce("root", "vec").alias("comp"), F.coalesce("n", F.lit(0)).alias("partners")), "vec"), "gate-kinds")
+
+    # Bounds of what a component takes: its items, and pairs of kinds whose vectors are partners or the same.
+    per_vector = kinds.groupBy("comp", "vec").agg(F.count(F.lit(1)).alias("kinds"), F.first("partners").alias("partners"), F.sum("copies").alias("items"))
+    pairs = F.max("kinds") * F.sum(F.col("partners") * F.col("kinds")) + F.sum(F.col("kinds") * F.col("kinds"))
+    sizes = per_vector.groupBy("comp").agg(F.sum("items").alias("items"), F.count(F.lit(1)).alias("vectors"), pairs.alias("pairs"))
+    sizes = through_table(sizes.where("items > 1"), "gate-components")
+    whole = (F.col("items") <= GATE_ITEMS) & (F.col("pairs") <= GATE_PAIRS)
+    settled = _settle_whole(items, named, kinds, groups, sizes.where(whole), indexed, texts, threshold, verify_above, verify)
+    crowded = sizes.where(~whole)
+    if not crowded.isEmpty():
+        some = named.join(kinds.join(crowded, "comp", "left_semi"), ["vec", "look", "digest"], "left_semi")
+        settled = settled.unionByName(_settle_in_rounds(items.join(some.select("id"), "id", "left_semi"), old, indexed, threshold, verify_above, verify))
+    settled = through_table(settled, "gate-settled")
+    alone = items.select("id").join(settled.select("id"), "id", "left_anti")
+    if indexed is None:
+        alone = alone.select("id", *nothing)
+    else:
+        alone = alone.join(indexed, "id", "left")
+    status = F.when(F.col("verify") > verify_above, F.lit("duplicate")).otherwise(F.lit("new"))
+    match = F.when(F.col("match_id") < 0, -1 - (F.col("match_id") + INDEXED)).otherwise(F.col("match_id"))
+    return settled.unionByName(alone.withColumn("status", status)).select("id", match.alias("match_id"), "score", F.round("verify", rk.SCORE_DIGITS).alias("verify"), "status")
+
+
+def _settle_whole(items, named, kinds, groups, sizes, indexed, texts, threshold, verify_above, verify) -> DataFrame:
+    """Verdicts on the items of components that a task can hold, many components to a task."""
+    kinds = kinds.join(sizes, "comp")
+    met = groups.join(kinds.where("vectors > 1").select("vec").distinct(), "vec")
+    near = dense_search(met.select(F.col("vec").alias("query_id"), "vector"), met.select(F.col("vec").alias("id"), "vector"), None, threshold, earlier_only=True)
+    near = through_table(near.where(F.col("score") > threshold).select("query_id", "id", "score"), "gate-near")
+    a, b = (kinds.select(F.col("vec").alias(f"vec_{s}"), F.col("kind").alias(k), F.col("comp").alias(f"comp_{s}")) for s, k in (("a", "id"), ("b", "match_id")))
+    pairs = near.select(F.col("query_id").alias("vec_a"), F.col("id").alias("vec_b"), "score").join(a, "vec_a").join(b, "vec_b")
+    same = a.join(b.drop("comp_b").withColumnRenamed("vec_b", "vec_a"), "vec_a").where("id >= match_id").withColumn("score", F.lit(1.0))
+    pairs = pairs.select(F.col("comp_a").alias("comp"), "id", "match_id", "score").unionByName(same.select(F.col("comp_a").alias("comp"), "id", "match_id", "score"))
+    pairs = through_table(pairs, "gate-pairs")
+    # A text is compared with itself under two names, as a verification may join its sides by name.
+    judged = verify(pairs.where("id <> match_id"), texts, "id", "match_id").select("comp", "id", "match_id", "score", "verify")
+    own = pairs.where("id = match_id").select("comp", "id", "match_id", "score")
+    judged = judged.unionByName(verify(own, texts, "id", "match_id").select("comp", "id", "match_id", "score", "verify"))
+
+    rows = named.join(kinds.select("vec", "look", "digest", "kind", "comp"), ["vec", "look", "digest"]).select("comp", "id", "kind")
+    rows = rows.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in GATE_ROWS]) if indexed is None else rows.join(indexed, "id", "left")
+    parts = max(1, -(-(sizes.agg(F.coalesce(F.sum("items"), F.lit(0))).first()[0]) // GATE_ITEMS), items.sparkSession.sparkContext.defaultParallelism)
+    part = F.pmod(F.xxhash64("comp"), F.lit(parts)).alias("part")
+
+    def settle(key, arrived: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        beside: dict[int, list[tuple[float, int, float]]] = {}
+        for x, y, score, value in edges[["id", "match_id", "score", "verify"]].itertuples(index=False):
+            beside.setdefault(x, []).append((score, y, value))
+            if x != y:
+                beside.setdefault(y, []).append((score, x, value))
+        accepted: dict[int, int] = {}
+        out = []
+        for row in arrived.sort_values("id").itertuples(index=False):
+            # The closest wins, at a tie the indexed one, whose number is below zero, then the earliest.
+            best = None if pd.isna(row.match_id) else (-row.score, int(row.match_id), row.verify)
+            for score, other, value in beside.get(row.kind, ()):
+                first = accepted.get(other)
+                if first is not None and (best is None or (-score, first) < best[:2]):
+                    best = (-score, first, value)
+            new = best is None or not best[2] > verify_above
+            if new:
+                accepted.setdefault(row.kind, row.id)
+            out.append((row.id, *((None, None, None) if best is None else (best[1], -best[0], best[2])), "new" if new else "duplicate"))
+        made = pd.DataFrame(out, columns=["id", "match_id", "score", "verify", "status"])
+        return made.astype({"id": "int64", "match_id": "Int64", "score": "float64", "verify": "float64"})
+
+    left, right = rows.withColumn("part", part), judged.withColumn("part", part)
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(settle, "id long, match_id long, score double, verify double, status string")
+
+
+def _settle_in_rounds(items: DataFrame, old: DataFrame | None, indexed: DataFrame | None, threshold: float, verify_above: float, verify) -> DataFrame:
+    """Verdicts on crowded components: an item whose nearest candidate is accepted is judged, one whose candidate was
+    rejected looks again among the others, one whose candidate is open waits. Each round settles the earliest open item.
+    """
+    # Rounds read the items again and again; what made them shall not run each time.
+    items = through_table(items, "gate-crowded")
+    pool, near = items, near_duplicates(items, threshold)
+    if old is not None:
         pool = pool.unionByName(old)
-        near = near.unionByName(_above(items, old, threshold))
-        # The closest wins, at a tie the indexed one.
+        near = near.unionByName(indexed.join(items.select("id"), "id", "left_semi").select("id", "match_id", "score"))
         near = near.groupBy("id").agg(F.max(F.struct("score", (-F.col("match_id")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("match_id"), "b.score")
     texts = pool.select("id", "text")
 
@@ -358,8 +455,7 @@ def duplicate_gate(items: DataFrame, threshold: float = 0.95, verify_above: floa
         return verify(through_table(pairs.select("id", "match_id", "score"), "gate-pairs"), texts, "id", "match_id").select("id", "match_id", "score", "verify")
 
     def free(ids: DataFrame) -> DataFrame:
-        nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("match_id", "long"), ("score", "double"), ("verify", "double"))]
-        return ids.select("id", *nothing, F.lit("new").alias("status"))
+        return ids.select("id", *[F.lit(None).cast(kind).alias(name) for name, kind in GATE_ROWS], F.lit("new").alias("status"))
 
     pending = through_table(checked(near), "gate-open")
     settled = through_table(free(items.join(pending, "id", "left_anti")), "gate-settled")
@@ -378,7 +474,7 @@ def duplicate_gate(items: DataFrame, threshold: float = 0.95, verify_above: floa
             settled = through_table(settled.unionByName(free(lost.join(again, "id", "left_anti"))), "gate-settled")
             pending = pending.unionByName(again)
         pending = through_table(pending, "gate-open")
-    return settled.select("id", "match_id", "score", F.round("verify", rk.SCORE_DIGITS).alias("verify"), "status")
+    return settled
 
 
 def _above(items: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
