@@ -8,9 +8,11 @@ from a first pass over one percent of it (a true lower bound of the final
 k-th score) keep the tasks from emitting k rows each.
 
 Many queries: both sides are cut into bounded tiles. Index rows are grouped by
-nearest pivot; a cell is skipped for a query when even its best possible score
-(from the cell radius) cannot pass. Tiles split hot cells by hash, so no task
-holds an unbounded group and no pair is written out before it passed the test.
+nearest pivot, found in two levels, so that cells stay small on a large index; a
+cell is skipped for a query when even its best possible score (from the cell
+radius) cannot pass, or when only earlier rows count and it has none. Tiles split
+hot cells by hash, so no task holds an unbounded group and no pair is written out
+before it passed the test.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ TERM_CELLS = 16_000_000  # entries of a shipped query-by-term matrix
 SHIP_ROWS = 65_536  # most queries of a shipped block
 SHIP_CELLS = 16_000_000  # bound on queries times (vector length plus k)
 INDEX_TILE, QUERY_TILE = 20_000, 4_000
-CELL_ROWS, PIVOTS = 4_000, 512
+CELL_ROWS = 4_000
+PIVOT_CELLS = 16_000_000  # bound on pivots times vector length
 SEED_PARTITIONS = 64
 SEED_SHARE = 100
 ANGLE_SLACK = 1e-6
@@ -283,64 +286,138 @@ def dense_scorer(spark, block: pd.DataFrame) -> tuple[np.ndarray, Callable]:
     return query_ids, scorer
 
 
-def _dense_tiles(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFrame:
-    """Tile join for a query side too large to ship."""
+class Cells:
+    """Pivots in two levels: a row goes to its nearest top pivot, then to the nearest pivot under that, so either step looks at about the root of their number."""
+
+    def __init__(self, pivots: np.ndarray, pivot_ids: np.ndarray):
+        n_tops = max(1, math.isqrt(len(pivots)))
+        top = (pivots @ pivots[:n_tops].T).argmax(axis=1)
+        order = np.argsort(top, kind="stable")
+        self.tops, self.top_ids = pivots[:n_tops], pivot_ids[:n_tops]
+        self.pivots, self.ids, self.top = pivots[order], pivot_ids[order], top[order]
+        self.start = np.searchsorted(self.top, np.arange(n_tops + 1))
+        # Known once the rows are dealt: how far a cell reaches, its smallest id, and among how many tiles its rows are split.
+        self.radius, self.top_radius = np.full(len(pivots), -np.inf), np.full(n_tops, -np.inf)
+        self.least, self.slices = np.full(len(pivots), np.iinfo(np.int64).max), np.zeros(len(pivots), np.int64)
+
+    def __len__(self) -> int:
+        return len(self.pivots)
+
+    def under(self, top: int) -> slice:
+        return slice(self.start[top], self.start[top + 1])
+
+    def assign(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell of each row, and its cosine to the cell's pivot and to the top pivot."""
+        far = rows @ self.tops.T
+        top = far.argmax(axis=1)
+        cell, near = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+        for t in np.unique(top).tolist():
+            at = np.flatnonzero(top == t)
+            own = rows[at] @ self.pivots[self.under(t)].T
+            best = own.argmax(axis=1)
+            cell[at], near[at] = best + self.start[t], own[np.arange(len(at)), best]
+        return cell, near, far[np.arange(len(rows)), top]
+
+    def learn(self, shape: list) -> None:
+        for r in shape:
+            c = r["cell"]
+            self.radius[c] = math.acos(min(1.0, max(-1.0, r["edge"]))) + ANGLE_SLACK
+            self.top_radius[self.top[c]] = max(self.top_radius[self.top[c]], math.acos(min(1.0, max(-1.0, r["far"]))) + ANGLE_SLACK)
+            self.least[c], self.slices[c] = r["least"], math.ceil(r["n"] / INDEX_TILE)
+
+    def visits(self, rows: np.ndarray, query_ids: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
+        """Which query has to visit which cell; all others cannot hold a hit."""
+        near = np.clip(rows @ self.tops.T, -1.0, 1.0)
+        floors = np.full(len(rows), -1.0 if limits.min_score is None else limits.min_score)
+        # Pivots may be rows of one item, so they bound no k-th item.
+        if limits.k is not None and limits.span is None and not limits.earlier_only:
+            self._raise_floors(rows, near, floors, limits.k + (1 if limits.skip_self else 0))
+        # Scores are compared after rounding, so a hit may lie a little below its floor.
+        reach = np.arccos(np.clip(floors - ROUNDING_SLACK, -1.0, 1.0)) + ANGLE_SLACK
+        open_ = np.arccos(near) - reach[:, None] <= self.top_radius[None, :]
+        found = []
+        for t in np.flatnonzero(open_.any(axis=0)).tolist():
+            q, cut = np.flatnonzero(open_[:, t]), self.under(t)
+            own = np.arccos(np.clip(rows[q] @ self.pivots[cut].T, -1.0, 1.0))
+            meets = (own - reach[q][:, None] <= self.radius[cut][None, :]) & (self.slices[cut] > 0)[None, :]
+            if limits.earlier_only:
+                meets &= self.least[cut][None, :] < query_ids[q][:, None]
+            x, c = np.nonzero(meets)
+            found.append((q[x], c + self.start[t]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([q for q, _ in found]), np.concatenate([c for _, c in found])
+
+    def _raise_floors(self, rows: np.ndarray, near: np.ndarray, floors: np.ndarray, k: int) -> None:
+        """``k`` pivots already score this much: of the top ones and of those under the nearest."""
+        top = near.argmax(axis=1)
+        for t in np.unique(top).tolist():
+            at, cut = np.flatnonzero(top == t), self.under(t)
+            # The top pivots stand once more under themselves.
+            rest = self.pivots[cut][~np.isin(self.ids[cut], self.top_ids)]
+            known = np.hstack([near[at], rows[at] @ rest.T])
+            if known.shape[1] >= k:
+                floors[at] = np.maximum(floors[at], -np.partition(-known, k - 1, axis=1)[:, k - 1])
+
+
+def _dealt(index: DataFrame) -> tuple[DataFrame, Cells] | None:
+    """The index with the cell of each row (id, vector, cell, near, far), and what is known of the cells; nothing for an empty index."""
     index = through_table(index, "tiles")
-    wanted = min(PIVOTS, max(16, index.count() // CELL_ROWS))
+    first = index.first()
+    if first is None:
+        return None
+    wanted = min(PIVOT_CELLS // max(1, len(first["vector"])), max(16, index.count() // CELL_ROWS))
     picked = index.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
-    if not picked:
-        return index.sparkSession.createDataFrame([], HITS)
-    pivots = _unit(r["vector"] for r in picked)
-    pivot_ids = np.array([r["id"] for r in picked], dtype=np.int64)
-    spare = 1 if limits.skip_self else 0
+    cells = Cells(_unit(r["vector"] for r in picked), np.array([r["id"] for r in picked], np.int64))
+    held = index.sparkSession.sparkContext.broadcast(cells)
 
     def to_cells(frames):
         for frame in frames:
             if len(frame):
-                near = _unit(frame["vector"]) @ pivots.T
-                cell = near.argmax(axis=1)
-                yield frame.assign(cell=cell.astype(np.int32), near=near[np.arange(len(frame)), cell])
-
-    cells = index.mapInPandas(to_cells, "id long, vector array<float>, cell int, near double")
-    cells = through_table(cells.select("id", F.col("vector").cast("array<double>").alias("vector"), "cell", "near"), "cells")
-    shape = cells.groupBy("cell").agg(F.min("near").alias("edge"), F.count(F.lit(1)).alias("n")).collect()  # <= PIVOTS rows
-    radius = np.full(len(pivots), -np.inf)
-    slices = np.zeros(len(pivots), dtype=np.int64)
-    for r in shape:
-        radius[r["cell"]] = math.acos(min(1.0, max(-1.0, r["edge"]))) + ANGLE_SLACK
-        slices[r["cell"]] = math.ceil(r["n"] / INDEX_TILE)
-    floor_cos = -1.0 if limits.min_score is None else limits.min_score
+                cell, near, far = held.value.assign(_unit(frame["vector"]))
+                yield frame.assign(cell=cell, near=near, far=far)
+
+    rows = index.mapInPandas(to_cells, "id long, vector array<float>, cell int, near double, far double")
+    rows = through_table(rows.select("id", F.col("vector").cast("array<double>").alias("vector"), "cell", "near", "far"), "cells")
+    # One row for each pivot.
+    cells.learn(rows.groupBy("cell").agg(F.min("near").alias("edge"), F.min("far").alias("far"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).collect())
+    return rows, cells
+
+
+def _visits(queries: DataFrame, cells: Cells, limits: Limits) -> DataFrame:
+    """query_id, vector, cell, slice: a row for each tile that a query has to visit."""
+    held = queries.sparkSession.sparkContext.broadcast(cells)
 
     def to_visits(frames):
         for frame in frames:
             if not len(frame):
                 continue
-            near = np.clip(_unit(frame["vector"]) @ pivots.T, -1.0, 1.0)
-            floors = np.full(len(frame), floor_cos)
-            # Pivots may be rows of one item, so they bound no k-th item.
-            if limits.k is not None and limits.span is None and not limits.earlier_only and limits.k + spare <= near.shape[1]:
-                # k pivots (one more when the query itself may be one) already score this much.
-                kth = -np.partition(-near, limits.k + spare - 1, axis=1)[:, limits.k + spare - 1]
-                floors = np.maximum(floors, kth)
-            # Scores are compared after rounding, so a hit may lie a little below its floor.
-            reach = np.arccos(np.clip(floors - ROUNDING_SLACK, -1.0, 1.0))[:, None] + ANGLE_SLACK
-            visit = (np.arccos(near) - reach <= radius[None, :]) & (slices > 0)[None, :]
-            q, cell = np.nonzero(visit)
-            parts = slices[cell]
+            q, cell = held.value.visits(_unit(frame["vector"]), frame["query_id"].to_numpy(np.int64), limits)
+            parts = held.value.slices[cell]
             q, cell = np.repeat(q, parts), np.repeat(cell, parts)
             part = np.arange(len(q)) - np.repeat(np.cumsum(parts) - parts, parts)
-            out = frame.iloc[q]
-            yield pd.DataFrame({"query_id": out["query_id"].to_numpy(), "vector": out["vector"].to_numpy(),
-                                "cell": cell.astype(np.int32), "slice": part.astype(np.int32)})
+            for at in range(0, len(q), 50_000):
+                cut = slice(at, at + 50_000)
+                out = frame.iloc[q[cut]]
+                yield pd.DataFrame({"query_id": out["query_id"].to_numpy(), "vector": out["vector"].to_numpy(), "cell": cell[cut].astype(np.int32), "slice": part[cut].astype(np.int32)})
+
+    return queries.mapInPandas(to_visits, "query_id long, vector array<double>, cell int, slice int")
+
 
-    visits = queries.mapInPandas(to_visits, "query_id long, vector array<double>, cell int, slice int")
-    visits = through_table(visits, "visits")
+def _dense_tiles(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFrame:
+    """Tile join for a query side too large to ship."""
+    dealt = _dealt(index)
+    if dealt is None:
+        return index.sparkSession.createDataFrame([], HITS)
+    rows, cells = dealt
+    visits = through_table(_visits(queries, cells, limits), "visits")
     per_tile = visits.groupBy("cell", "slice").agg(F.ceil(F.count(F.lit(1)) / QUERY_TILE).cast("int").alias("blocks"))
     per_tile = through_table(per_tile, "tile-sizes")
-    spread = F.create_map(*[x for c, s in enumerate(slices.tolist()) for x in (F.lit(c), F.lit(max(1, s)))])
+    sizes = [(c, max(1, n)) for c, n in enumerate(cells.slices.tolist())]
+    sizes = index.sparkSession.createDataFrame(sizes, "cell int, slices long")  # one row for each pivot
     left = visits.join(per_tile, ["cell", "slice"]).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks").cast("long")).cast("int"))
     right = (
-        cells.withColumn("slice", F.pmod(F.xxhash64("id"), F.element_at(spread, F.col("cell")).cast("long")).cast("int"))
+        rows.join(sizes, "cell").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
         .join(per_tile, ["cell", "slice"])
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )

@@ -193,3 +193,37 @@ def test_only_missing_items_are_computed(spark):
     cache = spark.createDataFrame([(1, "old"), (3, "old")], "k long, v string")
     out = compute_missing(items, cache, "k", lambda m: m.withColumn("v", F.lit("new")))
     assert {r["k"]: r["v"] for r in out.collect()} == {0: "new", 1: "old", 2: "new", 3: "old", 4: "new"}
+
+
+@pytest.mark.parametrize("limits", [scan.Limits(3), scan.Limits(3, skip_self=True), scan.Limits(None, 0.9), scan.Limits(None, 0.9, earlier_only=True), scan.Limits(2, 0.5, earlier_only=True)])
+def test_tiles_with_pivots_in_two_levels(spark, monkeypatch, limits):
+    monkeypatch.setattr(scan, "CELL_ROWS", 4)
+    monkeypatch.setattr(scan, "INDEX_TILE", 3)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 5))
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=5) * 0.2]) for i in range(300)]
+    frame = lambda name: spark.createDataFrame(rows, f"{name} long, vector array<double>").repartition(3)
+    found = scan.dense_search(frame("query_id"), frame("id"), limits.k, limits.min_score, limits.skip_self, limits.earlier_only, ship_rows=0)
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    scores, expected = np.round(u @ u.T, 9), set()
+    for q in range(len(rows)):
+        hits = [(-scores[q, d], d) for d in range(len(rows)) if not (limits.skip_self and d == q) and not (limits.earlier_only and d >= q) and (limits.min_score is None or scores[q, d] >= limits.min_score)]
+        expected |= {(q, d) for _, d in sorted(hits)[: limits.k]}
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == expected
+
+
+def test_share_of_visited_cells_falls_with_the_rows(spark, monkeypatch):
+    """Cells keep their size, so more rows make smaller cells, of which a query visits a smaller share; earlier rows only halve it again."""
+    monkeypatch.setattr(scan, "CELL_ROWS", 10)
+    rng = np.random.default_rng(7)
+    shares = []
+    for n in (500, 8000):
+        u = rng.normal(size=(n, 3))
+        rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(u)], "id long, vector array<float>")
+        _, cells = scan._dealt(rows)
+        unit = u[:400] / np.linalg.norm(u[:400], axis=1, keepdims=True)
+        share = lambda ids, limits: len(cells.visits(unit, ids, limits)[0]) / (400 * len(cells))
+        shares.append((share(np.arange(400), scan.Limits(None, 0.99)), share(np.arange(400), scan.Limits(None, 0.99, earlier_only=True))))
+        assert len(cells) == n // 10 and len(cells.tops) == int(len(cells) ** 0.5)
+    assert shares[1][0] < shares[0][0] / 2 and all(earlier < whole for whole, earlier in shares), shares
