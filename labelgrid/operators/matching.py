@@ -2,7 +2,7 @@
 
 All matching runs over distinct normal forms, so repeated inputs and repeated
 labels cost nothing extra. Close pairs are found by equi-joins that cannot miss
-one: shared plural variants, a shared gram for containment, and shared
+one: shared plural variants, the rarest shared gram for containment, and shared
 segments at a bounded shift for edit distance. Every candidate is then tested.
 """
 
@@ -34,17 +34,24 @@ def _grams(df: DataFrame, c: str, sizes=CONTAIN_GRAMS) -> DataFrame:
     return df.select(c, F.explode(F.array_distinct(lists)).alias("key"))
 
 
-def _head(df: DataFrame, c: str, sizes=CONTAIN_GRAMS) -> DataFrame:
-    """The leading gram of the largest size that fits."""
-    size = F.lit(sizes[0])
-    for s in sizes[1:]:
-        size = F.when(F.length(c) >= s, s).otherwise(size)
-    return df.where(F.length(c) >= sizes[0]).select(c, F.substring(F.col(c), F.lit(1), size).alias("key"))
+def _rarest(df: DataFrame, c: str, others: DataFrame, sizes=CONTAIN_GRAMS) -> DataFrame:
+    """Each text under the one of its grams, of the largest size that fits, that the fewest ``others`` (their grams) have.
+
+    Who holds the text holds all its grams, so one is enough; a text with a gram that nobody has is held by nobody.
+    """
+    grams = all_grams(F.col(c), sizes[0])
+    for size in sizes[1:]:
+        grams = F.when(F.length(c) >= size, all_grams(F.col(c), size)).otherwise(grams)
+    own = df.where(F.length(c) >= sizes[0]).select(c, F.explode(F.array_distinct(grams)).alias("key"))
+    often = others.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    least = own.join(often, "key", "left").groupBy(c).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("best"))
+    return least.where("best.n > 0").select(c, "best.key")
 
 
 def _by_containment(a: DataFrame, b: DataFrame) -> DataFrame:
-    one = _head(a, "a").join(_grams(b, "b"), "key").where(F.contains("b", "a"))
-    two = _grams(a, "a").join(_head(b, "b"), "key").where(F.contains("a", "b"))
+    in_a, in_b = _grams(a, "a"), _grams(b, "b")
+    one = _rarest(a, "a", in_b).join(in_b, "key").where(F.contains("b", "a"))
+    two = in_a.join(_rarest(b, "b", in_a), "key").where(F.contains("a", "b"))
     return one.select("a", "b").unionByName(two.select("a", "b"))
 
 

@@ -39,6 +39,8 @@ CELL_ROWS = 4_000
 PIVOT_CELLS = 16_000_000  # bound on pivots times vector length
 SEED_PARTITIONS = 64
 SEED_SHARE = 100
+SEED_ROWS = 10_000  # least sample of the index from which floors are taken
+BOUND_SLACK = 1e-6
 ANGLE_SLACK = 1e-6
 ROUNDING_SLACK = 2 * 10.0**-SCORE_DIGITS
 
@@ -507,6 +509,16 @@ def sparse_scorer(spark, block: pd.DataFrame, all_rows: bool = False) -> tuple[n
     return query_ids, scorer
 
 
+def _query_terms(queries: DataFrame) -> DataFrame:
+    terms = queries.select("query_id", F.explode(F.arrays_zip("idx", "w")).alias("t"))
+    return terms.select("query_id", F.col("t.idx").alias("term"), F.col("t.w").cast("double").alias("qw"))
+
+
+def _postings(index: DataFrame) -> DataFrame:
+    terms = index.select("id", F.explode(F.arrays_zip("idx", "w")).alias("t"))
+    return terms.select("id", F.col("t.idx").alias("term"), F.col("t.w").cast("double").alias("dw"))
+
+
 def sparse_scores(queries: DataFrame, index: DataFrame, digits: int = SCORE_DIGITS) -> DataFrame:
     """Every (query, row) that shares a term, with its score; an inverted-index join.
 
@@ -515,14 +527,53 @@ def sparse_scores(queries: DataFrame, index: DataFrame, digits: int = SCORE_DIGI
     task: the term join ships the query side when it fits and is otherwise
     re-planned by AQE's skew join.
     """
-    q = queries.select("query_id", F.explode(F.arrays_zip("idx", "w")).alias("t")).select(
-        "query_id", F.col("t.idx").alias("term"), F.col("t.w").cast("double").alias("qw"))
-    d = index.repartition("id").select("id", F.explode(F.arrays_zip("idx", "w")).alias("t")).select(
-        "id", F.col("t.idx").alias("term"), F.col("t.w").cast("double").alias("dw"))
-    return d.join(q, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), digits).alias("score"))
+    return _postings(index.repartition("id")).join(_query_terms(queries), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), digits).alias("score"))
+
+
+def term_bounds(queries: DataFrame, postings: DataFrame, floors: DataFrame) -> DataFrame:
+    """query_id, term, qw, rest, needed: which terms of a query a row must share to reach its floor.
+
+    A term adds at most its query weight times its largest weight in any row. The terms that add least, together less than the floor (``rest``), cannot reach it
+    without one of the others, so rows that share only them are no hits. Stop words are mostly among them.
+    """
+    most = postings.groupBy("term").agg(F.max("dw").alias("most"))
+    bounds = _query_terms(queries).join(most, "term").withColumn("adds", F.col("qw") * F.col("most")).join(floors, "query_id", "left")
+    upto = Window.partitionBy("query_id").orderBy("adds", "term").rowsBetween(Window.unboundedPreceding, 0)
+    bounds = bounds.withColumn("upto", F.sum("adds").over(upto))
+    needed = F.col("floor").isNull() | (F.col("upto") >= F.col("floor") - BOUND_SLACK)
+    spared = F.max(F.when(~needed, F.col("upto"))).over(Window.partitionBy("query_id"))
+    return bounds.select("query_id", "term", "qw", "floor", F.coalesce(spared, F.lit(0.0)).alias("rest"), needed.alias("needed"))
+
+
+def _floors(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFrame:
+    """query_id, floor: a score that the k-th hit of a query has at least, from a sample of the index, or the smallest score allowed."""
+    floor = queries.select("query_id", F.lit(limits.min_score).cast("double").alias("floor"))
+    if limits.k is not None:
+        every = max(1, index.count() // max(SEED_ROWS, 100 * limits.k))
+        part = index.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+        kth = _finish(sparse_scores(queries, part, limits.digits), limits).where(F.col("rank") == limits.k).select("query_id", F.col("score").alias("kth"))
+        floor = floor.join(kth, "query_id", "left").select("query_id", F.greatest("floor", "kth").alias("floor"))
+    return floor.where("floor is not null")
+
+
+def _bounded_sparse_join(queries: DataFrame, index: DataFrame, limits: Limits) -> DataFrame:
+    """Scores of all rows that may be hits: those that share a needed term, and whose sum over needed terms can still reach the floor."""
+    floors = through_table(_floors(queries, index, limits), "sparse-floors")
+    bounds = through_table(term_bounds(queries, _postings(index), floors), "term-bounds")
+    # Rows are dealt by id before they meet the terms, so sums per (query, row) need no second shuffle.
+    lists = _postings(index.repartition("id"))
+    found = lists.join(bounds.where("needed").select("query_id", "term", "qw", "floor", "rest"), "term")
+    part = found.groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("dw")).alias("part"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+    alive = through_table(part.where(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor") - BOUND_SLACK)), "sparse-candidates")
+    spared = alive.select("query_id", "id").join(bounds.where("not needed").select("query_id", "term", "qw"), "query_id").join(_postings(index), ["id", "term"])
+    sums = alive.select("query_id", "id", "part").unionByName(spared.select("query_id", "id", (F.col("qw") * F.col("dw")).alias("part")))
+    scores = sums.groupBy("query_id", "id").agg(F.round(F.sum("part"), limits.digits).alias("score"))
+    return scores if limits.min_score is None else scores.where(F.col("score") >= limits.min_score)
 
 
 def _sparse_join(queries: DataFrame, index: DataFrame, limits: Limits, all_rows: bool) -> DataFrame:
+    if not all_rows:
+        return _bounded_sparse_join(queries, index, limits)
     scores = sparse_scores(queries, index, limits.digits)
     if all_rows and limits.k is not None:
         # A query with m < k hits is filled with zero rows; those are among the first k ids plus its hits.

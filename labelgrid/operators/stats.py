@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
+import math
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,47 +14,56 @@ from labelgrid.functions import text as tx
 from labelgrid.session import through_table
 
 SORT_BOUND = 200_000  # distinct values of one group that may be ordered in one task
-BUCKETS = 1024
+COARSE, FINE = 64, 64  # splitters of a larger group, in two levels
+EXACT_POISSON = 32  # counts from which a Poisson weight is drawn by its normal form
 
 
 # ---------------------------------------------------------------- order statistics
 
 def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], sort_bound: int = SORT_BOUND) -> DataFrame:
-    """Exact k-th smallest values per group.
+    """Exact k-th smallest values per group; a NaN is larger than any number, nulls do not count.
 
     ``ranks`` maps output names to 1-based ranks in terms of the column ``n``.
     Rows are first counted per value. A group with more distinct values than
-    ``sort_bound`` is narrowed by equal-width buckets, round by round, until the
-    bucket holding the wanted rank is small; only that bucket is ordered. No
-    group is ever gathered in one task.
+    ``sort_bound`` is cut by about ``COARSE * FINE`` of its own values, chosen by hash; one pass counts
+    the rows between neighbouring splitters, and only the interval that holds a wanted rank is ordered.
+    However values are spread, that is enough; no group is ever gathered in one task.
     """
     counted = through_table(
         df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")),
         "value-counts",
     )
-    sizes = counted.groupBy(*by).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("values"))
+    sizes = through_table(counted.groupBy(*by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("values")), "group-sizes")
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("r")) for name, rank in ranks.items()]))
-    targets = sizes.select(*by, "n", "lo", "hi", "values", wanted.alias("w")).select(*by, "lo", "hi", "values", F.col("w.name").alias("name"), F.col("w.r").alias("r"))
+    targets = sizes.select(*by, "n", "values", wanted.alias("w")).select(*by, "values", F.col("w.name").alias("name"), F.col("w.r").alias("r"))
     key = [*by, "name"]
-    while True:
-        targets = through_table(targets, "targets")
-        if not targets.where((F.col("values") > sort_bound) & (F.col("lo") < F.col("hi"))).limit(1).count():
-            break
-        inside = counted.join(targets, by).where(F.col("v").between(F.col("lo"), F.col("hi")))
-        width = F.col("hi") - F.col("lo")
-        bucket = F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width * BUCKETS)).otherwise(F.lit(0))
-        parts = inside.groupBy(*key, "r", bucket.alias("bucket")).agg(
-            F.sum("c").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("values"))
-        upto = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        parts = parts.withColumn("upto", F.sum("m").over(upto))
-        here = (F.col("upto") >= F.col("r")) & (F.col("upto") - F.col("m") < F.col("r"))
-        targets = parts.where(here).select(*by, "lo", "hi", "values", "name", (F.col("r") - F.col("upto") + F.col("m")).alias("r"))
-    inside = counted.join(targets, by).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    small = counted.join(targets.where(F.col("values") <= sort_bound), by).select(*key, "r", "v", "c")
+    inside = small.unionByName(_cut_interval(counted, sizes, targets, by, sort_bound)) if sizes.where(F.col("values") > sort_bound).limit(1).count() else small
     upto = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = inside.withColumn("upto", F.sum("c").over(upto)).where((F.col("upto") >= F.col("r")) & (F.col("upto") - F.col("c") < F.col("r")))
     return found.groupBy(*by).pivot("name", list(ranks)).agg(F.first("v"))
 
 
+def _cut_interval(counted: DataFrame, sizes: DataFrame, targets: DataFrame, by: list[str], sort_bound: int) -> DataFrame:
+    """by, name, r, v, c of large groups: the values between the two splitters that enclose the rank, which is counted from the lower one."""
+    large = counted.join(sizes.where(F.col("values") > sort_bound).select(*by, "values"), by)
+    # Of any group about COARSE * FINE values are splitters.
+    chosen = F.pmod(F.xxhash64(F.col("v"), F.lit(1)), F.col("values")) < COARSE * FINE
+    fine = F.sort_array(F.collect_list("v")).alias("fine")
+    steps = F.expr(f"sequence(1, greatest(1, size(fine)), {FINE})")
+    cuts = large.where(chosen).groupBy(*by).agg(fine).withColumn("coarse", F.transform(steps, lambda i: F.col("fine")[i - 1]))
+    below = lambda list_, v: F.size(F.filter(list_, lambda s: s <= v))
+    part = F.greatest(below(F.col("coarse"), F.col("v")) - 1, F.lit(0))
+    place = part * FINE + below(F.slice("fine", part * FINE + 1, F.lit(FINE)), F.col("v"))
+    placed = through_table(large.join(cuts, by, "left").select(*by, "v", "c", F.coalesce(place, F.lit(0)).alias("place")), "placed-values")
+    each = placed.groupBy(*by, "place").agg(F.sum("c").alias("m"))
+    before = Window.partitionBy(*by).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each splitter
+    each = each.withColumn("upto", F.sum("m").over(before))
+    here = targets.join(each, by).where((F.col("upto") >= F.col("r")) & (F.col("upto") - F.col("m") < F.col("r")))
+    here = here.select(*by, "name", "place", (F.col("r") - F.col("upto") + F.col("m")).alias("r"))
+    return placed.join(here, [*by, "place"]).select(*by, "name", "r", "v", "c")
+
+
 def _median_ranks() -> dict[str, Column]:
     n = F.col("n")
     return {"_m1": F.floor((n + 1) / 2), "_m2": F.floor((n + 2) / 2)}
@@ -187,28 +195,34 @@ def weighted_kappa(pairs: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, F.col("n").cast("long").alias("n"), F.when(expected > 0, 1 - F.col("off") / expected).alias("kappa"))
 
 
+def poisson_weight(count: Column, *named: Column) -> Column:
+    """A Poisson number of mean ``count``, drawn from the MD5 of what names it.
+
+    Small means by the inverse of the distribution, larger ones by its normal form with the first term of skewness.
+    """
+    digits = F.md5(F.concat_ws("|", *named))
+    share = lambda first: (F.conv(F.substring(digits, first, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    u, w, c = share(1), share(13), count.cast("double")
+    terms = F.sequence(F.lit(1), F.ceil(F.least(c, F.lit(EXACT_POISSON)) + 10 * F.sqrt(F.least(c, F.lit(EXACT_POISSON))) + 20).cast("int"))
+    start = F.struct(F.exp(-c).alias("p"), F.exp(-c).alias("sum"), F.lit(0).cast("long").alias("k"))
+    step = lambda s, i: F.struct(
+        (s["p"] * c / i).alias("p"), (s["sum"] + s["p"] * c / i).alias("sum"), (s["k"] + F.when(s["sum"] < u, 1).otherwise(0)).alias("k"))
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * w)
+    wide = F.greatest(F.lit(0.0), F.floor(c + F.sqrt(c) * z + (z * z - 1) / 6 + 0.5).cast("double"))
+    return F.when(c < EXACT_POISSON, F.aggregate(terms, start, step, lambda s: s["k"]).cast("double")).otherwise(wide)
+
+
 def bootstrap_ci(df: DataFrame, by: list[str], value: str, replicates: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """Mean with a percentile bootstrap interval, repeatable for a seed.
 
     Rows are counted per value first; each count draws one Poisson weight per
-    replicate, so the work depends on the distinct values, not on the rows.
+    replicate, so the work depends on the distinct values, not on the rows. Sums of a replicate are combined before they are shuffled.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-
-    def draw(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                key = [getattr(row, b) for b in by]
-                rng = np.random.default_rng([seed, zlib.crc32(repr((*map(str, key), row.v)).encode())])
-                weight = rng.poisson(row.c, replicates)
-                out = pd.DataFrame({"rep": np.arange(replicates), "w": weight.astype(float), "wv": weight * row.v})
-                for name, part in zip(by, key):
-                    out[name] = part
-                yield out[[*by, "rep", "w", "wv"]]
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in by)
-    drawn = counts.mapInPandas(draw, f"{fields}, rep int, w double, wv double")
-    means = drawn.groupBy(*by, "rep").agg((F.sum("wv") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    drawn = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    named = [F.lit(str(seed)), F.col("rep").cast("string"), *[F.col(b).cast("string") for b in by], F.round(F.col("v") * 1e6).cast("long").cast("string")]
+    drawn = drawn.withColumn("w", poisson_weight(F.col("c"), *named))
+    means = drawn.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     tail = (1 - level) / 2
     bounds = means.groupBy(*by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))  # one value per replicate
     return counts.groupBy(*by).agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n")).join(bounds, by)

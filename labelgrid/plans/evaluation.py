@@ -382,11 +382,21 @@ def weighted_kappa(t):
     return nine(st.weighted_kappa(st.pair_annotators(*annotated(t), ["id", "grp"], ["fidelity", "detail"]), ["axis"]), "kappa")
 
 
-@query("consensus_bootstrap")
+@query("consensus_bootstrap", PAIRED + f""",
+c AS (SELECT grp, axis, (a + b) / 2.0 AS v, count(*) AS c FROM q GROUP BY ALL),
+h AS (SELECT *, md5(concat_ws('|', '7', rep, grp, axis, CAST(round(v * 1000000) AS BIGINT))) AS x FROM c, range(1000) AS r(rep)),
+u AS (SELECT *, (CAST('0x' || substr(x, 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u, (CAST('0x' || substr(x, 13, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS w FROM h),
+z AS (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * w) AS z FROM u),
+small AS (SELECT c, sum(exp(-c + j * ln(c) - lgamma(j + 1))) OVER (PARTITION BY c ORDER BY j) AS upto FROM (SELECT DISTINCT c FROM c WHERE c < {st.EXACT_POISSON}), range({5 * st.EXACT_POISSON}) AS r(j)),
+d AS (SELECT grp, axis, v, z.c, rep, CASE WHEN z.c < {st.EXACT_POISSON} THEN (SELECT count(*) FROM small s WHERE s.c = z.c AND s.upto < z.u) ELSE greatest(0, floor(z.c + sqrt(z.c) * z + (z * z - 1) / 6 + 0.5)) END AS w FROM z),
+m AS (SELECT grp, axis, sum(w * v) / nullif(sum(w), 0) AS m FROM d GROUP BY grp, axis, rep),
+b AS (SELECT grp, axis, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY ALL)
+SELECT grp, axis, round(sum(v * c) / sum(c), 6) AS mean, CAST(sum(c) AS BIGINT) AS n, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM c JOIN b USING (grp, axis) GROUP BY grp, axis""")
 def consensus_bootstrap(t):
     """Mean of the two readings per group and axis with a bootstrap interval."""
     pairs = st.pair_annotators(*annotated(t), ["id", "grp"], ["fidelity", "detail"])
-    return st.bootstrap_ci(pairs.withColumn("both", (F.col("a") + F.col("b")) / 2), ["grp", "axis"], "both")
+    out = st.bootstrap_ci(pairs.withColumn("both", (F.col("a") + F.col("b")) / 2), ["grp", "axis"], "both")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
 
 
 # ---------------------------------------------------------------- text error rates

@@ -227,3 +227,33 @@ def test_share_of_visited_cells_falls_with_the_rows(spark, monkeypatch):
         shares.append((share(np.arange(400), scan.Limits(None, 0.99)), share(np.arange(400), scan.Limits(None, 0.99, earlier_only=True))))
         assert len(cells) == n // 10 and len(cells.tops) == int(len(cells) ** 0.5)
     assert shares[1][0] < shares[0][0] / 2 and all(earlier < whole for whole, earlier in shares), shares
+
+
+@pytest.mark.parametrize("k, least, span", [(4, None, None), (1, None, None), (4, 2.5, None), (None, 3.0, None), (3, None, 10), (10**6, None, None)])
+def test_sparse_search_by_bounds(spark, monkeypatch, k, least, span):
+    """Beyond the shipped block: equal to the full join, with far fewer rows joined when common terms weigh little."""
+    monkeypatch.setattr(scan, "SEED_ROWS", 100)
+    rng = np.random.default_rng(4)
+    index = []
+    for i in range(900):
+        terms = sorted({0, 1, *rng.integers(2, 40, rng.integers(0, 3)).tolist()} if i % 9 else set())
+        index.append((i, terms, [float(0.1 * rng.integers(1, 4)) if t < 2 else float(rng.integers(1, 4)) for t in terms]))
+    queries = [(q, terms, [1.0] * len(terms)) for q, terms in enumerate([[0, 1, 5, 9], [0, 7], [0, 1], [], [99], [2, 3, 4, 5, 6]])]
+    q = spark.createDataFrame(queries, "query_id long, idx array<int>, w array<double>")
+    d = spark.createDataFrame(index, "id long, idx array<int>, w array<double>").repartition(3)
+    found = scan.sparse_search(q, d, k, least, ship_cells=0, span=span)
+    expected = set()
+    for name, terms, weights in queries:
+        own, best = dict(zip(terms, weights)), {}
+        for i, has, w in index:
+            shared = [(own[t], x) for t, x in zip(has, w) if t in own]
+            score = round(sum(a * b for a, b in shared), 9)
+            if shared and (least is None or score >= least):
+                best[i if span is None else i // span] = min(best.get(i if span is None else i // span, (0.0, 0)), (-score, i))
+        expected |= {(name, i, -s, r) for r, (s, i) in enumerate(sorted(best.values())[:k], 1)}
+    assert {(r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in found.collect()} == {(a, b, round(c, 9), e) for a, b, c, e in expected}
+    if k == 4 and least is None:
+        floors = scan._floors(q, d, scan.Limits(k))
+        needed = scan.term_bounds(q, scan._postings(d), floors).where("needed")
+        joined = scan._postings(d).join(needed.select("query_id", "term"), "term").count()
+        assert joined * 2 < scan._postings(d).join(scan._query_terms(q), "term").count()

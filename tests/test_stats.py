@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -10,7 +11,7 @@ from labelgrid.operators import stats as st
 
 @pytest.mark.parametrize("bound", [200_000, 8])
 def test_order_statistics_with_and_without_narrowing(spark, bound, monkeypatch):
-    monkeypatch.setattr(st, "BUCKETS", 16)
+    monkeypatch.setattr(st, "FINE", 4)
     r = random.Random(4)
     data = {"a": [r.expovariate(1) for _ in range(900)], "b": [float(r.randint(0, 3)) for _ in range(500)], "c": [7.5]}
     df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g string, v double")
@@ -114,3 +115,44 @@ def test_blanks_are_filled_once(spark):
     target = spark.createDataFrame([("1", " "), ("2", "kept"), ("3", "")], "id string, text string")
     source = spark.createDataFrame([("1", "new"), ("2", "other"), ("3", "")], "id string, text string")
     assert {r["id"]: r["text"] for r in st.fill_blank(target, source, "id", "text").collect()} == {"1": "new", "2": "kept", "3": ""}
+
+
+def test_order_statistics_of_any_spread(spark, monkeypatch):
+    """Values over 300 decades, a NaN, infinities, ties and a null; large groups are cut once and give exact ranks."""
+    monkeypatch.setattr(st, "COARSE", 4)
+    monkeypatch.setattr(st, "FINE", 3)
+    rnd = random.Random(2)
+    values = {"wide": [10.0 ** rnd.uniform(-150, 150) * rnd.choice([1, -1]) for _ in range(900)], "odd": [float("nan"), float("inf"), float("-inf"), 0.0] + [5e-324] * 40 + [float(i) for i in range(300)],
+              "one": [7.0] * 50, "few": [1.0, 2.0]}
+    rows = [(g, v) for g, own in values.items() for v in own] + [("few", None), ("none", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    n = F.col("n")
+    ranks = {"first": F.lit(1), "third": F.least(F.lit(3), n), "mid": F.floor((n + 1) / 2), "last": n}
+    jobs = []
+    real = st.through_table
+    monkeypatch.setattr(st, "through_table", lambda df, purpose: jobs.append(purpose) or real(df, purpose))
+    found = {r["g"]: r for r in st.order_statistics(frame, ["g"], "v", ranks, sort_bound=20).collect()}
+    assert jobs == ["value-counts", "group-sizes", "placed-values"]
+    assert set(found) == {"wide", "odd", "one", "few"}
+    for g, own in values.items():
+        ordered = sorted(own, key=lambda v: (v != v, v))
+        for name, at in (("first", 1), ("third", min(3, len(own))), ("mid", (len(own) + 1) // 2), ("last", len(own))):
+            assert repr(found[g][name]) == repr(ordered[at - 1]), (g, name)
+
+
+def test_poisson_weights(spark):
+    """Mean and variance of small and large means, and the share of zeros."""
+    for mean in (1, 6, 31, 32, 400):
+        draws = spark.range(4000).select(st.poisson_weight(F.lit(mean), F.lit("seed"), F.col("id").cast("string")).alias("w"))
+        out = draws.agg(F.avg("w").alias("m"), F.var_samp("w").alias("v"), F.avg((F.col("w") == 0).cast("int")).alias("none"), F.avg((F.col("w") % 1).cast("double")).alias("part")).first()
+        assert abs(out["m"] - mean) < 4 * math.sqrt(mean / 4000) and abs(out["v"] / mean - 1) < 0.12
+        assert abs(out["none"] - math.exp(-mean)) < 0.03 and out["part"] == 0
+
+
+def test_bootstrap_interval_of_a_known_spread(spark):
+    rnd = random.Random(1)
+    rows = [("g", float(rnd.choice([1, 2, 3, 4, 5]))) for _ in range(2000)]
+    out = st.bootstrap_ci(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").first()
+    mean = sum(v for _, v in rows) / len(rows)
+    width = 1.96 * math.sqrt(sum((v - mean) ** 2 for _, v in rows)) / len(rows)
+    assert abs(out["mean"] - mean) < 1e-12 and abs(out["low"] - (mean - width)) < 0.012 and abs(out["high"] - (mean + width)) < 0.012
