@@ -19,7 +19,6 @@ from labelgrid.session import shared_folder, ship_package, through_table
 
 BLOCK = 2 << 20
 BATCH = 8 << 20
-ROW = "row_no__"
 
 # Blank characters of the contracts: the space and \x09-\x0D.
 BLANKS = np.zeros(256, bool)
@@ -214,9 +213,29 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """All columns, written with a number ``ROW`` for each row: a key where ids are null or stand for several texts."""
-    return through_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def quoted(column: str) -> str:
+    """A name as it stands, whatever signs it has."""
+    return f"`{column.replace('`', '``')}`"
+
+
+def _from_files(docs: DataFrame) -> bool:
+    """Whether each row stands for one row of a file: a file scan under nothing but projections and filters."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """row (all columns as one struct) and at (file, place): a key of each row where ids are null or stand for several texts.
+
+    The key is the row's place in its Parquet file, which every later read finds again; what does not come straight from files is written first.
+    All columns of the user lie in ``row``, so their names cannot clash with others.
+    """
+    table = docs if _from_files(docs) else through_table(docs, "located")
+    where = table.metadataColumn("_metadata")
+    at = F.struct(F.xxhash64(where["file_path"]).alias("file"), where["row_index"].alias("place"))
+    return table.select(F.struct(*[F.col(quoted(c)) for c in table.columns]).alias("row"), at.alias("at"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -240,6 +259,6 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 __all__ = [
-    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "ROW", "Words", "blocks_of", "checkpointed", "grams", "id_and_text", "map_texts",
-    "merge_spans", "mix", "numbered", "sliding", "small_batches", "through_table",
+    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "Words", "blocks_of", "checkpointed", "grams", "id_and_text", "located", "map_texts",
+    "merge_spans", "mix", "quoted", "sliding", "small_batches", "through_table",
 ]

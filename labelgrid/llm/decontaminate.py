@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
-from labelgrid.llm.common import MARKS, Block, Words, grams, id_and_text, map_texts, mix, sliding, through_table
+from labelgrid.llm.common import MARKS, Block, Words, grams, map_texts, mix, sliding, through_table
 
 WINDOW, GRAM = 10, 5
 MAP_BITS = 23
@@ -105,8 +106,8 @@ def _overlap(side: str) -> object:
     return F.when((F.col(side) == "") | (F.col(f"item_{side}") == ""), 0).otherwise(full).cast("int")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, items (sorted), contaminated, spans of hit words."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit, items (sorted), contaminated, spans of hit words; and ``carried``, the column ``carry`` as it is, if one is named."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
 
     def item_rows(block: Block, rows: pa.RecordBatch) -> dict:
@@ -120,9 +121,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
     def doc_rows(block: Block, rows: pa.RecordBatch) -> dict:
         counts, found = _fingerprints(block, len(rows), lengths, admitted.value, window, gram, False)
-        return {"doc_id": rows.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "hits": pa.array(found, _HIT_ARROW)}
+        own = {name: rows.column(name) for name in ["doc_id", *carried]}
+        return {**own, "n_words": pa.array(counts, pa.int64()), "hits": pa.array(found, _HIT_ARROW)}
 
-    base = map_texts(id_and_text(docs), doc_rows, f"doc_id bigint, n_words bigint, hits array<{_HIT}>")
+    carried = ["carried"] if carry else []
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{carry}`").alias(name) for name in carried])
+    kinds = [*[f for f in texts.schema if f.name != "text"], *DataType.fromDDL(f"n_words bigint, hits array<{_HIT}>")]
+    base = map_texts(texts, doc_rows, StructType(kinds))
     base = through_table(base.withColumn("row_no", F.monotonically_increasing_id()), "doc-prints")
 
     key = ["hash", "size", "core"]
@@ -152,11 +157,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     named = found.select("row_no", F.explode("item_ids").alias("item_id")).distinct().groupBy("row_no").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     per_row = cover.select("row_no", merged.cast("bigint").alias("n_hit"), F.col("parts").alias("spans")).join(named, "row_no", "left")
     return (
-        base.select("row_no", "doc_id", "n_words").join(per_row, "row_no", "left")
+        base.select("row_no", "doc_id", "n_words", *carried).join(per_row, "row_no", "left")
         .select(
             "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
             F.col("n_hit").isNotNull().alias("contaminated"),
-            F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")).alias("spans"),
+            F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")).alias("spans"), *carried,
         )
     )

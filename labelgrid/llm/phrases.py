@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelgrid.llm.common import Block, blocks_of, mix, small_batches, through_table
-from labelgrid.llm.superstrings import MAP_BITS, _bitmap
+from labelgrid.llm.superstrings import _bitmap, admits
 
 MIN_COUNT, TOP, COVER, MAX_WORDS = 30, 2000, 80, 4
 BURST, ROOM, FAN_BITS = 1 << 14, 1 << 20, 4
@@ -237,11 +237,6 @@ def count_phrases(docs: DataFrame, seed: int, width: int, room: int, chosen: Cal
     return _by_language(docs, run, RUNS).repartition(*parts).groupBy("lang", *KEYS).agg(F.sum("n").alias("n"))
 
 
-def _admits(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes >> np.uint64(64 - MAP_BITS)
-    return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def frequent(docs: DataFrame, min_count: int = MIN_COUNT, room: int = ROOM) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (lang, word, id, n), all of them; then phrases of two and of three to four words (lang, w1 to w4, n) with ``min_count`` occurrences."""
     context, seed = docs.sparkSession.sparkContext, 0
@@ -253,7 +248,7 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, room: int = ROOM) -> t
     known = context.broadcast(_bitmap(words.where(F.col("n") >= min_count).select(F.col("id").alias("m"))))
 
     def pairs(tokens: Tokens) -> Iterator[np.ndarray]:
-        yes = _admits(known.value, tokens.ids)[tokens.code]
+        yes = admits(known.value, tokens.ids)[tokens.code]
         at = tokens.together(2)
         at = at[yes[at] & yes[at + 1]]
         yield tokens.ids[np.stack([tokens.code[at], tokens.code[at + 1]], 1)]
@@ -269,7 +264,7 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, room: int = ROOM) -> t
 
     def longer(tokens: Tokens) -> Iterator[np.ndarray]:
         at, yes = tokens.together(2), np.zeros(len(tokens.code), bool)
-        yes[at] = _admits(joined.value, phrase_hash(tokens.ids[np.stack([tokens.code[at], tokens.code[at + 1]], 1)]))
+        yes[at] = admits(joined.value, phrase_hash(tokens.ids[np.stack([tokens.code[at], tokens.code[at + 1]], 1)]))
         for n in (3, 4):
             at = tokens.together(n)
             for j in range(n - 1):

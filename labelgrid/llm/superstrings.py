@@ -140,6 +140,12 @@ def _bitmap(counts: DataFrame) -> np.ndarray:
     return table
 
 
+def admits(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in a map that ``_bitmap`` made."""
+    slot = hashes >> np.uint64(64 - MAP_BITS)
+    return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 Kernel = Callable[[list[list[tuple[bytes, int]]]], list[list[np.ndarray]]]
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from labelgrid.llm import decontaminate, jaccard_dedup, simhash
+from labelgrid.llm import decontaminate, jaccard_dedup
 
 from . import brute
 
@@ -49,12 +49,13 @@ def varied():
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize("hot", [jaccard_dedup.HOT, 3])
-def test_similar_texts_one_of_each(spark, hot):
+@pytest.mark.parametrize("rounds", [jaccard_dedup.ROUNDS, 0])
+def test_similar_texts_one_of_each(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard_dedup, "ROUNDS", rounds)
     docs = varied()
     # One partition, so that rows are numbered in this order; n tells the rows apart.
     frame = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, n int").coalesce(1)
-    kept = jaccard_dedup.one_of_each(frame, hot=hot)
+    kept = jaccard_dedup.one_of_each(frame)
     assert kept.columns == frame.columns
     assert sorted(r["n"] for r in kept.collect()) == sorted(first_rows(docs))
 
@@ -77,9 +78,9 @@ def test_one_of_each_by_row(spark):
     texts = ["alpha beta gamma delta", "quite another text of words", "third and last of the texts", "only nameless rows have this", "named and nameless alike now"]
     docs = [(1, 0), (2, 0), (2, 1), (2, 1), (3, 2), (None, 3), (None, 3), (None, 4), (9, 4), (0, 2)]
     frame = spark.createDataFrame([(i, texts[t], n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, n int").coalesce(1)
-    for kept in (simhash.one_of_each(frame), jaccard_dedup.one_of_each(frame)):
-        assert kept.columns == frame.columns
-        assert sorted(r["n"] for r in kept.collect()) == [0, 2, 5, 8, 9]
+    kept = jaccard_dedup.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r["n"] for r in kept.collect()) == [0, 2, 5, 8, 9]
 
 
 def test_leaks_are_dropped_by_row(spark, tmp_path):
