@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelgrid.llm import bpe, classifier, decontaminate, jaccard_dedup, line_dedup
-from labelgrid.llm.common import ROW, numbered
+from labelgrid.llm.common import located
 from labelgrid.session import through_table
 
 # Look-ups of hashed text, suffix-free fingerprints and merges have no SQL form; tests compare with a brute-force version.
@@ -36,10 +36,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage, judged and dropped row by row whatever their doc_id."""
-    rows = numbered(docs)
-    found = decontaminate.decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark"))
-    leaks = through_table(found.where("contaminated").select(F.col("doc_id").alias(ROW)), "leaks")
-    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
+    rows = located(docs)
+    texts = rows.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("row.text").alias("text"), "at")
+    found = decontaminate.decontaminate(texts, _table(spark, sf_dir, "benchmark"), carry="at")
+    leaks = through_table(found.where("contaminated").select(F.col("carried").alias("at")), "leaks")
+    return rows.join(leaks, "at", "left_anti").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
