@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from labelgrid.llm.common import LOWER, Block, map_texts, mix, small_batches, through_table
+from labelgrid.llm.common import LOWER, Block, map_texts, mix, quoted, small_batches, through_table
 
 MIN_DOCS, MIN_CHARS = 10, 1
 SHARD = 1 << 17
@@ -205,8 +206,13 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     # Read from a table, so that the join deals both sides itself and may split a text of very many copies.
     answers = through_table(answers, "line-answers")
 
-    named = docs.withColumn("line_name", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    joined = named.join(answers.withColumnRenamed("name", "line_name"), "line_name", "left")
+    others = [c for c in docs.columns if c != "text"]
+    if not others:
+        raise ValueError("docs needs a column besides text")
+    # The user's columns lie in one struct before others join them, so that no name can clash.
+    packed = docs.select(F.struct(*[F.col(quoted(c)) for c in others]).alias("line_row"), F.col("text").cast("string").alias("line_text"))
+    named = packed.withColumn("line_name", F.unhex(F.md5(F.coalesce("line_text", F.lit("")))))
+    joined = named.join(answers.withColumnRenamed("name", "line_name"), "line_name", "left").select("line_row", "line_text", "line_often")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,10 +238,6 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
             )
             pa.default_memory_pool().release_unused()
 
-    others = [c for c in docs.columns if c != "text"]
-    packed = joined.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("line_row"), F.col("text").cast("string").alias("line_text"), "line_often")
-    row = next(f for f in packed.schema if f.name == "line_row").dataType.simpleString() if others else None
-    if not others:
-        raise ValueError("docs needs a column besides text")
-    out = packed.mapInArrow(cut, f"line_row {row}, text string, line_count bigint, line_dropped bigint")
+    schema = StructType([packed.schema["line_row"], *[StructField(n, k) for n, k in (("text", StringType()), ("line_count", LongType()), ("line_dropped", LongType()))]])
+    out = joined.mapInArrow(cut, schema)
     return out.select(*[F.col("text") if c == "text" else F.col("line_row").getField(c).alias(c) for c in docs.columns], "line_count", "line_dropped")
