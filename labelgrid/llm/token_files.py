@@ -34,6 +34,7 @@ from labelgrid.session import shared_folder, ship_package
 
 BLOCK_IDS = 2 << 20
 SAMPLE = 256
+MOST_FOUND = 65_536
 CACHE = 300_000
 # Signs to set between pieces; the first that the tokenizer turns into one id is taken.
 MARKS = "~^\\`}{"
@@ -287,6 +288,33 @@ def read_tokens(spark, folder: str) -> DataFrame:
     return _read(spark, folder, "ids binary", lambda ids: pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()))
 
 
+def find_tokens(spark, folder: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids (packed unsigned 32-bit integers) of the documents that ``wanted`` (doc_id) names, each found in its block by two select
+    look-ups; no other boundary is decoded. At most ``MOST_FOUND`` ids, which go to every task; for more, join ``read_tokens``.
+    """
+    ship_package(spark)
+    rows = wanted.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct().limit(MOST_FOUND + 1).collect()
+    if len(rows) > MOST_FOUND:
+        raise ValueError(f"more than {MOST_FOUND} documents to find")
+    shared = spark.sparkContext.broadcast(np.array(sorted(r["doc_id"] for r in rows), np.int64))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("block"):
+                block = TokenBlock.unpack(packed.as_buffer())
+                names = np.array([d for d in block.doc_ids if d is not None], np.int64)
+                nulls = len(block.doc_ids) - len(names)
+                first, last = np.searchsorted(names, shared.value, "left"), np.searchsorted(names, shared.value, "right")
+                found = [i for a, b in zip(first.tolist(), last.tolist()) for i in range(a, b)]
+                ids = [block.document(i + nulls) for i in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[found], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                    names=["doc_id", "n_tokens", "ids"],
+                )
+
+    return spark.read.parquet(folder).select("block").mapInArrow(find, "doc_id bigint, n_tokens bigint, ids binary")
+
+
 def read_checksums(spark, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files below ``folder``."""
     return _read(spark, folder, "ids_crc32 bigint", lambda ids: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()))
