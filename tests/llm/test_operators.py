@@ -13,13 +13,15 @@ from labelgrid.llm import bpe, classifier, components, decontaminate, licenses,
 from labelgrid.llm.queries import QUERIES
 
 from . import brute
+from .test_findings import first_rows
 
 DATA = "/root/testdata/sf0.001"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+# Names that the operators use themselves, and one that no plain schema string can hold.
+CLASHES = ["name", "key", "fp", "hits", "kept", "line_row", "weight", "row_no", "score", "n_words", "line_name", "line_often", "line_text", "row", "at", "digest", "node", "may_go", "carried", "a: b`c"]
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType()),
-    # Names that the operators use themselves.
-    *[T.StructField(c, T.StringType()) for c in ("name", "key", "fp", "hits", "kept", "line_row", "weight", "row_no", "score", "n_words")],
+    *[T.StructField(c, T.StringType()) for c in CLASHES],
 ])
 
 
@@ -48,7 +50,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, None, 0, *["x"] * 10) for i, t in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, None, 0, *["x"] * len(CLASHES)) for i, t in rows], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -114,6 +116,7 @@ def test_quality_rules(docs, none, rows):
 def test_line_dedup(docs, none, rows, least, chars):
     kept = line_dedup.drop_lines(docs, least, chars)
     assert kept.columns == [*docs.columns, "line_count", "line_dropped"]
+    assert kept.select(*[F.col(f"`{c.replace("`", "``")}`") for c in CLASHES]).distinct().collect() == [tuple("x" for _ in CLASHES)]
     same(kept.withColumn("sha", sha("text")), ["doc_id", "line_count", "line_dropped", "sha"], brute.line_dedup(rows, least, chars))
     assert line_dedup.drop_lines(none).count() == 0
 
@@ -147,6 +150,19 @@ def test_token_blocks(docs, rows, monkeypatch):
     same(token_files.token_files(docs.where("doc_id is not null").dropDuplicates(), WORDS), ["doc_id", "start", "n_tokens", "ids_crc32"], brute.token_files(distinct, WORDS))
 
 
+def test_documents_found_by_select(spark, docs, rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 100)
+    token_files.write_tokens(docs, WORDS, str(tmp_path / "ids"), end_id=1)
+    wanted = spark.createDataFrame([(i,) for i in (7, 30, 31, -5, 10**15, 4, 4, 999, None)], "doc_id long")
+    found = token_files.find_tokens(spark, str(tmp_path / "ids"), wanted)
+    every = token_files.read_tokens(spark, str(tmp_path / "ids")).where("doc_id in (7, 30, 31, -5, 1000000000000000, 4)")
+    same(found, ["doc_id", "n_tokens", "ids"], [tuple(r) for r in every.select("doc_id", "n_tokens", "ids").collect()])
+    assert found.count() == sum(i in (7, 30, 31, -5, 10**15, 4) for i, _ in rows)
+    monkeypatch.setattr(token_files, "MOST_FOUND", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        token_files.find_tokens(spark, str(tmp_path / "ids"), wanted)
+
+
 def test_elias_fano():
     rnd = np.random.default_rng(2)
     for values in ([], [0], [5, 5, 5], [0, 1 << 40], np.sort(rnd.integers(0, 10**9, 3000)), np.arange(2000)):
@@ -179,25 +195,63 @@ def test_classifier_held_out(spark):
     assert share[2] > 0.97 and share[0] < 0.1 and share[1] < 0.2
 
 
-def dice(text, template):
-    pairs = lambda t: set(zip(brute.marked(t), brute.marked(t)[1:]))
-    a, b = pairs(text), pairs(template)
-    return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
-
-
-def test_licenses(docs, none, rows):
+def licence_matches(text, templates, threshold=0.8):
+    """All spans against all templates, the best of overlapping ones."""
     import re
 
-    expected = []
-    for i, text in [*rows]:
-        units = [text or "", *(text or "").split("\n"), *re.split(r"\n[ \t\x0b\x0c\r]*(?=\n)", text or "")]
-        best = {n: max(dice(u, t) for u in units for t in ts) for n, ts in licenses.TEMPLATES.items()}
-        best = {n: d for n, d in best.items() if d >= licenses.THRESHOLD}
-        top = min(best.items(), key=lambda x: (-x[1], x[0]), default=(None, 0.0))
-        expected.append((i, *top, len(best), ",".join(sorted(best))))
+    text, found, pairs = text or "", set(), lambda w: set(zip(w, w[1:]))
+    lower = brute.lower(text)
+    spans, own = [], [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)]
+    words = [lower[a:b] for a, b in own]
+    cuts = [[0, len(text)], [0, *[m.end() for m in re.finditer("\n", text)], len(text)], [0, *[m.end() for m in re.finditer(r"\n[ \t\x0b\x0c\r]*(?=\n)", text)], len(text)]]
+    for cut in cuts:
+        for a, b in zip(cut, cut[1:]):
+            inside = [i for i, (x, _) in enumerate(own) if a <= x < b]
+            if inside:
+                spans.append((inside[0], inside[-1] + 1))
+    for name, texts in templates.items():
+        for template in texts:
+            t = brute.marked(template)
+            of = pairs(t)
+            for a, b in [*spans, *[(i, i + len(t)) for i in range(len(words) - len(t) + 1)]]:
+                has = pairs(words[a:b])
+                if has and of and (d := 2 * len(has & of) / (len(has) + len(of))) >= threshold:
+                    found.add((-d, name, a, b))
+    kept = []
+    for m in sorted(found):
+        if all(m[3] <= k[2] or k[3] <= m[2] for k in kept):
+            kept.append(m)
+    best, names = min(kept, default=(0.0, None)), sorted({m[1] for m in kept})
+    return best[1], -best[0] + 0.0, len(names), ",".join(names), len(kept)
+
+
+LICENCE_COLUMNS = ["doc_id", "license", "dice", "n_licenses", "licenses", "n_matches"]
+
+
+def test_licenses(spark, docs, none, rows):
+    expected = [(i, *licence_matches(t, licenses.TEMPLATES)) for i, t in rows]
     assert sum(e[3] > 0 for e in expected) >= 2
-    same(licenses.scan(docs), ["doc_id", "license", "dice", "n_licenses", "licenses"], expected)
+    same(licenses.scan(docs), LICENCE_COLUMNS, expected)
     assert licenses.scan(none).count() == 0 and licenses.scan(docs, {}).where("license is not null").count() == 0
+    table = spark.createDataFrame([("own", "one two three four five six"), ("own", "two words"), (None, "x"), ("none", None)], "license string, text string")
+    same(licenses.scan(docs, table), LICENCE_COLUMNS, [(i, *licence_matches(t, {"own": ["one two three four five six", "two words"]})) for i, t in rows])
+
+
+def test_licenses_inside_lines_and_whole_texts(spark):
+    """A notice within a longer line, a whole licence between other text with changed words, two licences side by side, overlapping templates."""
+    whole = licenses.TEMPLATES["BSD-3-Clause"][1]
+    changed = whole.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "JANE DOE").replace("copyright holder", "Jane Doe")
+    texts = [
+        "Copyright (c) 2021 Some One Inc. All rights reserved. Licensed under the Apache License, Version 2.0. Have a nice day and read on.",
+        "/* a b c\n * " + changed.replace(". ", ".\n * ") + " */ int main() { return 0; }",
+        "intro words " + licenses.TEMPLATES["MIT"][3] + " between " + licenses.TEMPLATES["Zlib"][0] + " end",
+        licenses.TEMPLATES["GPL-3.0"][1] + " " + licenses.TEMPLATES["GPL-2.0"][1], "Licensed under the " * 50, whole + " " + whole,
+    ]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    same(found, LICENCE_COLUMNS, [(i, *licence_matches(t, licenses.TEMPLATES)) for i, t in enumerate(texts)])
+    named = {r["doc_id"]: r["licenses"] for r in found.collect()}
+    assert named[0] == "Apache-2.0" and named[1] == "BSD-3-Clause" and named[2] == "MIT,Zlib" and named[3] == "GPL-2.0,GPL-3.0" and named[4] == ""
+    assert found.where("doc_id = 5").first()["n_matches"] == 2
 
 
 @pytest.mark.parametrize("distance, bucket", [(2, simhash.BUCKET), (2, 2), (3, 4)])
@@ -224,13 +278,6 @@ def test_simhash_links(spark, none):
     assert sum(thresholds) == 0 and thresholds[0] > 0
 
 
-def test_one_of_each(docs, rows):
-    kept = simhash.one_of_each(docs)
-    component = {doc: c for doc, _, c in brute.simhash(rows)}
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({c for c in component.values() if c is not None})
-
-
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (7, 7), (None, 3)] + [(300, 300 + i) for i in range(1, 40)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -285,6 +332,20 @@ def test_queries(spark, small, name, expected):
     same(frame, frame.columns, expected(*small))
 
 
+@pytest.mark.parametrize("name, expected", [
+    ("op2_bpe", lambda d: brute.round_trip(d, BYTES)), ("op5_token_files", lambda d: brute.token_files(d, WORDS)), ("op8_simhash", lambda d: brute.simhash(d)),
+    ("op9_suffix_dedup", lambda d: brute.repeated_bytes(d)),
+    ("op7_license_scan", lambda d: [(i, *licence_matches(t, licenses.TEMPLATES)) for i, t in d]),
+])
+def test_queries_without_sql_on_more_rows(spark, name, expected):
+    folder = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    docs = docs if name != "op7_license_scan" else [r for r in docs if r[0] % 4 == 0]  # the plain version takes long
+    frame = QUERIES[name](spark, folder)
+    frame = frame if name != "op7_license_scan" else frame.where("doc_id % 4 = 0")
+    same(frame, frame.columns, expected(docs))
+
+
 def test_pipeline(spark, small):
     docs, items = small
     table = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -297,8 +358,8 @@ def test_pipeline(spark, small):
         for k in {key(x) for x in text.split("\n")}:
             count[k] = count.get(k, 0) + 1
     stage = [(i, "\n".join(x for x in t.split("\n") if not key(x) or count[key(x)] < 10)) for i, t in stage]
-    first = {doc for doc, _, component in brute.simhash(stage) if doc == component}
-    stage = [r for r in stage if r[0] in first]
+    first = first_rows(stage)
+    stage = [r for k, r in enumerate(stage) if k in first]
     clean = {r[0] for r in brute.decontaminate(stage, items) if not r[-1]}
     stage = [r for r in stage if r[0] in clean]
     frame = corpus_pipeline.run(spark, DATA)
