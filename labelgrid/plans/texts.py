@@ -191,16 +191,42 @@ def clean_sparse_terms(t):
     return maps.select("user_id", F.array_join(terms, ",").alias("terms")).where("terms <> ''")
 
 
-@query("encoded_texts", f"""WITH {s.encoded('d', 'documents', 'doc_id', 'text')},
+ENCODED = f"""WITH {s.encoded('d', 'documents', 'doc_id', 'text')},
 sp AS (SELECT key, count(*) AS terms, round(sum(w), 6) AS weight FROM d_sparse GROUP BY key)
 SELECT doc_id, coalesce(sp.terms, 0) AS terms, round(coalesce(sp.weight, 0), 6) AS weight, round(coalesce(list_sum(list_transform(v, lambda x: abs(x))), 0), 6) AS mass
-FROM documents LEFT JOIN sp ON sp.key = doc_id LEFT JOIN d_dense dd ON dd.key = doc_id""")
-def encoded_texts(t):
-    rows = en.encode_column(docs(t), "text")
+FROM documents LEFT JOIN sp ON sp.key = doc_id LEFT JOIN d_dense dd ON dd.key = doc_id"""
+
+
+def _masses(rows):
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))), 6)
     return rows.select("doc_id", F.size("sparse_idx").cast("long").alias("terms"), total("sparse_w").alias("weight"), total("dense").alias("mass"))
 
 
+@query("encoded_texts", ENCODED)
+def encoded_texts(t):
+    return _masses(en.encode_column(docs(t), "text"))
+
+
+class Unsteady(en.HashingEncoder):
+    """The encoder behind a service that loses the first call of each batch."""
+
+    def __init__(self):
+        super().__init__()
+        self.refused = False
+
+    def __call__(self, texts):
+        self.refused = not self.refused
+        if self.refused:
+            raise ConnectionError("no answer")
+        return super().__call__(texts)
+
+
+@query("encoded_after_retries", ENCODED)
+def encoded_after_retries(t):
+    """Every batch fails once and is encoded by the second of three attempts."""
+    return _masses(en.encode_column(docs(t), "text", lambda: Unsteady(), batch=64))
+
+
 @query("generated_texts", f"""SELECT doc_id, CASE WHEN lang = 'fr' THEN 'ERROR: no model for ' || lang ELSE upper(lang) END AS text, CASE WHEN lang IN ('fr', 'de') THEN 1 ELSE 0 END AS failed FROM documents""")
 def generated_texts(t):
     """A stand-in generator that raises for French and gives a poor reply for German."""
