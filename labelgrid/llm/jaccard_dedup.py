@@ -38,6 +38,7 @@ SHINGLE, SIMILARITY, DISTANCE = 5, (4, 5), 3
 SAMPLE, COMMON, LISTED = 20_000, 4, 65_536
 ROUNDS, FEW = 4, 10
 SKETCH, LANES = 512, 8
+TEXT_BLOCK = 1 << 19  # bytes of text that a task takes at once
 _AT = "at struct<file:bigint,place:bigint>"
 _SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 
