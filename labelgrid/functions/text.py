@@ -280,29 +280,56 @@ def note_is_empty(c: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "") == ""
 
 
+# The mark of a fence, the words that may follow it, and the word after which a reply is a loop.
+FENCE, FENCE_WORDS, LOOP_WORD = "```", ("json", "markdown"), "extra"
+
+
+def _members(json: Column) -> Column:
+    """Values of the top-level members of an object that are strings, of a repeated key the last one; null if it does not parse."""
+    entries = F.map_entries(F.from_json(json, "map<string,variant>"))
+    numbered = F.transform(entries, lambda m, i: F.struct(m["key"].alias("key"), m["value"].alias("value"), i.alias("at")))
+    later = lambda m: F.exists(numbered, lambda n: (n["key"] == m["key"]) & (n["at"] > m["at"]))
+    strings = F.filter(numbered, lambda m: (F.schema_of_variant(m["value"]) == "STRING") & ~later(m))
+    return F.transform(strings, lambda m: F.variant_get(m["value"], "$", "string"))
+
+
+def _quoted_values(broken: Column) -> Column:
+    """Values of what looks like members: the text is cut at its quotation marks, and a piece is a value if a colon alone parts it from a key that is not empty.
+
+    No mark is used twice, so the next key lies behind the mark that closes a value.
+    """
+
+    def read(pieces: Column) -> Column:
+        start = F.struct(F.lit(-1).alias("used"), F.array().cast("array<string>").alias("values"))
+
+        def step(seen: Column, at: Column) -> Column:
+            value = (at - 2 >= seen["used"] + 2) & (F.element_at(pieces, at - 1) != "") & F.element_at(pieces, at).rlike(r"^\s*:\s*\z")
+            return F.when(value, F.struct(at.alias("used"), F.array_append(seen["values"], F.element_at(pieces, at + 1)).alias("values"))).otherwise(seen)
+
+        # Piece 0 has no mark before it and the last piece none behind it; element_at counts from 1.
+        places = F.when(F.size(pieces) >= 5, F.sequence(F.lit(3), F.size(pieces) - 2)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, start, step, lambda seen: seen["values"])
+
+    return let(F.split(broken, '"'), read)
+
+
 def clean_model_text(c: Column) -> Column:
-    """Text out of a model reply: fences removed, JSON string values joined by newline."""
-    raw = strip(F.coalesce(c, F.lit("")))
-    bare = strip(F.regexp_replace(raw, r"```(?:json|markdown)?\s*", ""))
-
-    def from_reply(clean: Column) -> Column:
-        # Top-level members that are JSON strings; of a repeated key the last one.
-        members = F.map_entries(F.from_json(clean, "map<string,variant>"))
-        last = F.filter(members, lambda m, i: ~F.exists(F.slice(members, i + 2, F.size(members)), lambda n: n["key"] == m["key"]))
-        strings = F.filter(last, lambda m: F.schema_of_variant(m["value"]) == "STRING")
-        values = F.filter(F.transform(strings, lambda m: F.variant_get(m["value"], "$", "string")), lambda v: ~is_blank(v))
-        pairs = F.filter(
-            F.transform(F.regexp_extract_all(clean, F.lit(r'"[^"]+"\s*:\s*"([^"]*)"'), 1), strip), lambda v: v != ""
-        )
-        return (
-            F.when(~clean.startswith("{"), clean)
-            .when(F.size(values) > 0, F.array_join(values, "\n"))
-            .when(F.size(pairs) > 0, F.array_join(pairs, "\n"))
-            .otherwise(clean)
-        )
+    """Text out of a model reply: fences removed, JSON string values joined by newline; nothing of a reply that loops."""
+
+    def without_fences(parts: Column) -> Column:
+        word = rf"^(?:{'|'.join(FENCE_WORDS)})?\s*"
+        inner = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.regexp_replace(p, word, ""))
+        bare = strip(F.concat(F.element_at(parts, 1), F.array_join(inner, "")))
+        looping = F.exists(F.slice(parts, 2, F.size(parts)), lambda p: p.rlike(rf"(?i)^markdown\s*{LOOP_WORD}"))
+        return F.when(looping, F.lit("")).otherwise(let(bare, unpacked))
+
+    def unpacked(text: Column) -> Column:
+        filled = lambda values: F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: ~is_blank(v))
+        members, quoted = filled(_members(text)), F.transform(filled(_quoted_values(text)), strip)
+        found = F.when(F.size(members) > 0, members).otherwise(quoted)
+        return F.when(text.startswith("{") & (F.size(found) > 0), F.array_join(found, "\n")).otherwise(text)
 
-    looping = raw.rlike(r"(?i)(?:```markdown\s*)+extra")
-    return F.when((raw == "") | looping, F.lit("")).otherwise(let(bare, from_reply))
+    return let(F.split(strip(F.coalesce(c, F.lit(""))), FENCE), without_fences)
 
 
 # ---------------------------------------------------------------- predicates
@@ -371,7 +398,7 @@ def date_range_text(start: Column, end: Column) -> Column:
 
 
 def action_for(method: Column, path: Column) -> Column:
-    """Name of a logged action."""
+    """Name of a logged action; paths and names are fixed values."""
     return (
         F.when(path == "/auth/me", "session_validate")
         .when(path == "/auth/refresh", "session_refresh")
@@ -381,7 +408,7 @@ def action_for(method: Column, path: Column) -> Column:
     )
 
 
-# Keys kept of what a client reports about itself, and the field limits of the log.
+# The keys kept of what a client reports about itself, and the field limits of the log.
 CLIENT_KEYS = ["source", "timezone", "language", "platform", "screen"]
 LOG_LIMITS = {"user_email": 255, "action": 80, "path": 255, "user_agent": 512}
 

@@ -402,10 +402,7 @@ def _settle_whole(items, named, kinds, groups, sizes, indexed, texts, threshold,
     same = a.join(b.drop("comp_b").withColumnRenamed("vec_b", "vec_a"), "vec_a").where("id >= match_id").withColumn("score", F.lit(1.0))
     pairs = pairs.select(F.col("comp_a").alias("comp"), "id", "match_id", "score").unionByName(same.select(F.col("comp_a").alias("comp"), "id", "match_id", "score"))
     pairs = through_table(pairs, "gate-pairs")
-    # A text is compared with itself under two names, as a verification may join its sides by name.
-    judged = verify(pairs.where("id <> match_id"), texts, "id", "match_id").select("comp", "id", "match_id", "score", "verify")
-    own = pairs.where("id = match_id").select("comp", "id", "match_id", "score")
-    judged = judged.unionByName(verify(own, texts, "id", "match_id").select("comp", "id", "match_id", "score", "verify"))
+    judged = verify(pairs, texts, "id", "match_id").select("comp", "id", "match_id", "score", "verify")
 
     rows = named.join(kinds.select("vec", "look", "digest", "kind", "comp"), ["vec", "look", "digest"]).select("comp", "id", "kind")
     rows = rows.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in GATE_ROWS]) if indexed is None else rows.join(indexed, "id", "left")

@@ -1,3 +1,4 @@
+import json
 import random
 import re
 import unicodedata
@@ -118,6 +119,22 @@ def test_model_replies(spark):
     assert one(spark, clean, t="```markdown\n```markdown extra") == ""
 
 
+def test_broken_replies_against_a_pattern(spark):
+    """The member reader takes what one pattern over the whole text takes, on random quotes, colons and blanks."""
+    rnd = random.Random(4)
+    texts = ["{" + "".join(rnd.choice(['"', '"', "a", "b ", ":", " : ", ",", "\n", "x"]) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    texts += ['{"a": "uno": "dos", "b" : "tres"', '{5", "k": "v"', '{"": "x", "y": "  "', "{", '{"', '{"a":"b"', '{"a":"b'] + ["```json {" + t for t in ('"a":"b",', '"a" "b": "c"')]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.clean_model_text(F.col("t")).alias("r")).collect()
+    for row in rows:
+        bare = re.sub(r"```(?:json|markdown)?\s*", "", row["t"].strip()).strip()
+        try:
+            json.loads(bare)
+            continue  # whole objects have a test of their own
+        except ValueError:
+            values = [v.strip() for v in re.findall(r'"[^"]+"\s*:\s*"([^"]*)"', bare)]
+            assert row["r"] == ("\n".join(v for v in values if v) or bare), row["t"]
+
+
 def test_failed_texts(spark):
     bad = tx.is_failed_text(F.col("t"))
     good = "Texto propio de la etiqueta: " + "x" * 200
