@@ -404,12 +404,14 @@ def consensus_bootstrap(t):
 def turns(t, shift):
     """Conversation turns; with shift 1 each turn carries the id of the one before it."""
     key = F.concat_ws("-", "conv_id", (F.col("turn") - shift))
-    return spread(t.conversations).select(key.alias("id"), F.col("role"), tx.to_ascii(F.col("text")).alias("text"))
+    return spread(t.conversations).select(key.alias("id"), F.col("role"), F.col("text"))
 
 
+# The distance of this engine counts bytes, so each letter beyond ASCII stands as one sign that normal forms do not hold.
+FREE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+-./:;<=>?@[]^{}|~"
 OCR = r"""
-WITH a AS (SELECT conv_id || '-' || turn AS id, role, regexp_replace(strip_accents(text), '[^\x00-\x7f]', '', 'g') AS text FROM conversations),
-nrm AS (SELECT id, role, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM a),
+WITH nrm AS (SELECT conv_id || '-' || turn AS id, role, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations),
+let AS (SELECT coalesce(string_agg(ch, '' ORDER BY ch), '') AS beyond FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM nrm) WHERE ord(ch) > 127),
 h AS (SELECT conv_id || '-' || (turn - 1) AS id, (conv_id || '-' || turn) AS own FROM conversations),
 p AS (SELECT nrm.id, nrm.role, nrm.text AS ref, o.text AS hyp FROM nrm JOIN h USING (id) JOIN nrm o ON o.id = h.own WHERE nrm.text <> ''),
 rt AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(string_split(ref, ' ')) AS w FROM p) WHERE w <> '' GROUP BY ALL),
@@ -417,8 +419,8 @@ ht AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(string_split(hyp, ' '
 tp AS (SELECT id, sum(least(rt.c, ht.c)) AS tp FROM rt JOIN ht USING (id, w) GROUP BY id),
 sz AS (SELECT id, coalesce(tp, 0) AS tp, (SELECT sum(c) FROM rt WHERE rt.id = p.id) AS nr, coalesce((SELECT sum(c) FROM ht WHERE ht.id = p.id), 0) AS nh FROM p LEFT JOIN tp USING (id)),
 f AS (SELECT id, CASE WHEN nh > 0 THEN tp::DOUBLE / nh ELSE 0 END AS pr, tp::DOUBLE / nr AS rc FROM sz),
-sc AS (SELECT id, role, levenshtein(ref, hyp)::DOUBLE / length(ref) AS cer, pr, rc, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS f1 FROM p JOIN f USING (id))
-"""
+sc AS (SELECT id, role, levenshtein(translate(ref, beyond, '@FREE@'), translate(hyp, beyond, '@FREE@'))::DOUBLE / length(ref) AS cer, pr, rc, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS f1 FROM p JOIN f USING (id), let)
+""".replace("@FREE@", FREE)
 
 
 @query("text_pairs", OCR + "SELECT id, ref, hyp FROM p")
@@ -432,7 +434,9 @@ def character_error_rate(t):
     return pairs.select("id", F.round(st.cer(F.col("ref"), F.col("hyp")), 9).alias("cer"))
 
 
-@query("word_error_rate")
+@query("word_error_rate", OCR + """, w AS (SELECT id, list_filter(string_split(ref, ' '), lambda x: x <> '') AS r, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS h FROM p)
+SELECT id, round(list_reduce(range(1, len(r) + 1), lambda prev, i: list_reduce(range(1, len(h) + 1), lambda new, j:
+  list_append(new, least(new[j] + 1, prev[j + 1] + 1, prev[j] + CASE WHEN r[i] = h[j] THEN 0 ELSE 1 END)), [i]), range(0, len(h) + 1))[len(h) + 1]::DOUBLE / len(r), 9) AS wer FROM w""")
 def word_error_rate(t):
     pairs = st.pair_texts(turns(t, 0), turns(t, 1))
     return pairs.select("id", F.round(st.wer(F.col("ref"), F.col("hyp")), 9).alias("wer"))
