@@ -192,47 +192,81 @@ def lexical_fallback(items: DataFrame, query: str, columns: list[str]) -> DataFr
     return items.where(found).withColumn("score", F.lit(1.0))
 
 
-GRAMS = (8, 4, 2, 1)
-
-
-def lexical_hits(queries: DataFrame, items: DataFrame, ship_rows: int | None = None) -> DataFrame:
+NEEDLE_BYTES, TEXT_BYTES = 4 << 20, 1 << 20  # a block of needles, and the texts that a task looks through at once
+WIDTHS = (8, 4, 2, 1)
+
+
+class Needles:
+    """A block of needles under their first 8, 4, 2 or 1 bytes, read as one number."""
+
+    def __init__(self, needles: list[bytes]):
+        self.needles = needles
+        self.under: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        for width in WIDTHS:
+            own: dict[int, list[int]] = {}
+            for i, needle in enumerate(needles):
+                if len(needle) >= width and (width == WIDTHS[0] or len(needle) < 2 * width):
+                    own.setdefault(int.from_bytes(needle[:width], "little"), []).append(i)
+            if own:
+                keys = sorted(own)
+                self.under[width] = (np.array(keys, np.uint64), [own[k] for k in keys])
+
+    def found(self, texts: list[bytes]) -> set[tuple[int, int]]:
+        """(needle, text) of all needles that a text holds."""
+        data, hits = b"".join(texts), set()
+        ends = np.cumsum([len(t) for t in texts])
+        view = np.frombuffer(data, np.uint8)
+        for width, (keys, own) in self.under.items():
+            n = len(view) - width + 1
+            if n <= 0:
+                continue
+            values = np.zeros(n, np.uint64)
+            for k in range(width):
+                values |= view[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+            place = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+            at = np.flatnonzero(keys[place] == values)
+            for pos, key, text in zip(at.tolist(), place[at].tolist(), np.searchsorted(ends, at, "right").tolist()):
+                for i in own[key]:
+                    needle = self.needles[i]
+                    if (i, text) not in hits and pos + len(needle) <= ends[text] and data.startswith(needle, pos):
+                        hits.add((i, text))
+        return hits
+
+
+def lexical_hits(queries: DataFrame, items: DataFrame, block_bytes: int = NEEDLE_BYTES) -> DataFrame:
     """``query_id, item_id`` where the item text contains the query text, ignoring case.
 
-    Few needles: one automaton per task scans each text once. Many needles: an
-    equi-join on the needle's first 8, 4, 2 or 1 characters, then the exact test.
+    Distinct needles are cut into blocks of about ``block_bytes``; each block goes to every task and is looked for in one pass over the texts.
+    What leaves a task are numbers, each pair once.
     """
+    key = [F.xxhash64("needle").alias("key"), F.octet_length("needle").alias("size")]
     needles = queries.select("query_id", F.lower(tx.strip(F.col("text"))).alias("needle")).where("needle <> ''")
+    needles = through_table(needles.select("query_id", "needle", *key), "needles")
+    distinct = needles.groupBy("key", "size").agg(F.first("needle").alias("needle"))
     haystack = spread(items.select("item_id", "text")).select("item_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("hay"))
-    rows = rows_if_small(needles) if ship_rows is None else rows_if_small(needles, ship_rows)
-    if rows is None:
-        gram = F.when(F.length("needle") >= 8, 8).when(F.length("needle") >= 4, 4).when(F.length("needle") >= 2, 2).otherwise(1)
-        keyed = needles.withColumn("gram", F.substring("needle", F.lit(1), gram))
-        grams = F.flatten(F.array(*[tx.all_grams(F.col("hay"), g) for g in GRAMS]))
-        found = haystack.withColumn("gram", F.explode(F.array_distinct(grams))).join(keyed, "gram")
-        return found.where(F.col("hay").contains(F.col("needle"))).select("query_id", "item_id")
-    if not rows:
-        return needles.join(haystack, F.lit(False)).select("query_id", "item_id")
-    wanted: dict[str, list[int]] = {}
-    for r in rows:
-        wanted.setdefault(r["needle"], []).append(r["query_id"])
-
-    def scan(frames):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for needle, ids in wanted.items():
-            automaton.add_word(needle, (needle, ids))
-        automaton.make_automaton()
-        for frame in frames:
-            out = [
-                (q, item)
-                for item, hay in zip(frame["item_id"], frame["hay"])
-                for ids in dict(value for _, value in automaton.iter(hay)).values()
-                for q in ids
-            ]
-            yield pd.DataFrame(out, columns=["query_id", "item_id"])
-
-    return haystack.mapInPandas(scan, "query_id long, item_id long")
+    total = distinct.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // block_bytes))
+
+    def passed(part: int) -> DataFrame:
+        rows = distinct.where(F.pmod("key", F.lit(parts)) == part).collect()  # about block_bytes
+        held = queries.sparkSession.sparkContext.broadcast(([(r["key"], r["size"]) for r in rows], Needles([r["needle"].encode() for r in rows])))
+
+        def scan(frames):
+            names, block = held.value
+            for frame in frames:
+                texts = [t.encode() for t in frame["hay"]]
+                ids, first = frame["item_id"].tolist(), 0
+                reach = np.cumsum([len(t) for t in texts])
+                while first < len(texts):
+                    last = max(first + 1, int(np.searchsorted(reach, (reach[first - 1] if first else 0) + TEXT_BYTES, "right")))
+                    out = [(*names[i], ids[first + text]) for i, text in block.found(texts[first:last])]
+                    yield pd.DataFrame(out, columns=["key", "size", "item_id"])
+                    first = last
+
+        return haystack.mapInPandas(scan, "key long, size int, item_id long")
+
+    found = reduce(DataFrame.unionByName, [passed(part) for part in range(parts)])
+    return needles.select("query_id", "key", "size").join(found, ["key", "size"]).select("query_id", "item_id")
 
 
 def search_or_fallback(queries: DataFrame, encoded: DataFrame, index: DataFrame, items: DataFrame, min_score: float, n: int = 50) -> DataFrame:

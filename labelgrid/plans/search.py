@@ -212,16 +212,18 @@ def lexical_fallback(t):
 
 @query("lexical_hits", """
 SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b JOIN documents d
-ON contains(lower(d.text), lower(trim(split_part(b.text, '.', 1)))) WHERE trim(split_part(b.text, '.', 1)) <> ''""")
+ON contains(lower(d.text), lower(trim(b.text))) WHERE trim(b.text) <> ''
+UNION ALL SELECT -1 - l.n, d.doc_id FROM (SELECT DISTINCT n, line FROM (SELECT unnest(string_split(text, chr(10))) AS line, item_id AS n FROM benchmark)) l
+JOIN documents d ON contains(lower(d.text), lower(trim(l.line))) WHERE trim(l.line) <> ''""")
 def lexical_hits(t):
-    """Documents that hold the first sentence of a benchmark text."""
-    needles = asked(t).withColumn("text", F.substring_index("text", ".", 1))
-    return se.lexical_hits(needles, items(t))
+    """Documents that hold a benchmark text, and under ``-1 - id`` those that hold one of its distinct lines."""
+    lines = t.benchmark.select((-1 - F.col("item_id")).alias("query_id"), F.explode(F.split("text", "\n")).alias("text")).distinct()
+    return se.lexical_hits(asked(t).unionByName(lines), items(t))
 
 
 @query("search_or_fallback", f"""
 WITH {s.segments('seg', 'documents', 'doc_id', 'text', 'full')}, {s.encoded('d', 'seg', 'segment_id', 'segment_text')},
-qs AS (SELECT item_id, trim(split_part(text, '.', 1)) AS text FROM benchmark), {s.encoded('q', 'qs', 'item_id', 'text')},
+qs AS (SELECT item_id, trim(text) AS text FROM benchmark), {s.encoded('q', 'qs', 'item_id', 'text')},
 dh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM (
     SELECT q.key AS query_id, d.key AS id, {s.cosine('q.v', 'd.v')} AS score FROM q_dense q, d_dense d) WHERE score >= 0.8) WHERE rk <= 1000),
 {s.rolled('b', 'dh')},
@@ -230,7 +232,7 @@ lex AS (SELECT qs.item_id AS query_id, doc_id AS item_id, row_number() OVER (PAR
 SELECT query_id, item_id, score, rank, 'semantic' AS mode FROM b WHERE rank <= 50
 UNION ALL SELECT query_id, item_id, 1.0, rank, 'lexical' FROM lex WHERE rank <= 50""")
 def search_or_fallback(t):
-    needles = asked(t).withColumn("text", F.trim(F.substring_index("text", ".", 1)))
+    needles = asked(t).withColumn("text", F.trim("text"))
     return se.search_or_fallback(needles, se.encode_queries(needles), se.segment_index(items(t), "full"), items(t), 0.8)
 
 

@@ -106,14 +106,17 @@ def test_bm25_against_the_formula(spark, ship_cells):
     assert {(r["query_id"], r["id"]) for r in got} == want
 
 
-@pytest.mark.parametrize("ship_rows", [None, 1])
-def test_lexical_hits_both_ways(spark, ship_rows):
-    items = spark.createDataFrame(list(enumerate(TEXTS)), "item_id long, text string")
-    needles = ["TORO", "o", "de oro", " el toro rojo y ", "x", "  "]
-    queries = spark.createDataFrame(list(enumerate(needles)), "query_id long, text string")
-    want = {(q, i) for q, n in enumerate(needles) if n.strip() for i, t in enumerate(TEXTS) if n.strip().lower() in t}
-    got = se.lexical_hits(queries, items, ship_rows).collect()
-    assert {(r["query_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+@pytest.mark.parametrize("block, reach", [(se.NEEDLE_BYTES, se.TEXT_BYTES), (60, 1)])
+def test_lexical_hits_by_blocks(spark, monkeypatch, block, reach):
+    """Needles of any length, copies of them, letters of several bytes, empty and missing texts; blocks of needles and texts of any size."""
+    monkeypatch.setattr(se, "TEXT_BYTES", reach)
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abÉñ中 ") for _ in range(rnd.randint(1, 12)))
+    texts = [(i, " ".join(word() for _ in range(rnd.randint(0, 30)))) for i in range(40)] + [(40, None), (41, ""), (42, "aaaaaaaaab"), (43, "aaaaaaaab")]
+    needles = [(q, word()) for q in range(30)] + [(100, "  "), (101, None), (102, "AAAAAAAAAB"), (103, "a"), (104, "a"), (105, "É"), (106, texts[3][1])]
+    got = se.lexical_hits(spark.createDataFrame(needles, "query_id long, text string"), spark.createDataFrame(texts, "item_id long, text string").repartition(3), block)
+    expected = sorted((q, i) for q, n in needles for i, t in texts if (n or "").strip() and (n.strip().lower() in (t or "").lower()))
+    assert sorted(map(tuple, got.collect())) == expected and len(expected) > 50
 
 
 @pytest.mark.parametrize("ship_rows", [None, 3])
