@@ -6,6 +6,7 @@ follows the longest document and never the number of rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import chain, filterfalse
 
@@ -17,6 +18,8 @@ from pyspark.sql.types import StructType
 
 from labelgrid.session import shared_folder, ship_package, through_table
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 BLOCK = 2 << 20
 BATCH = 8 << 20
 
@@ -175,6 +178,13 @@ def small_batches(df: DataFrame) -> None:
         spark.conf.set(name, str(BATCH))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker does not keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def map_texts(df: DataFrame, fn: Callable[[Block, pa.RecordBatch], dict | None], schema: str | StructType, column: str = "text", limit: int = BLOCK) -> DataFrame:
     """Run ``fn`` over blocks of texts; it gets the block and its rows and returns arrays by column name."""
     small_batches(df)
@@ -185,7 +195,7 @@ def map_texts(df: DataFrame, fn: Callable[[Block, pa.RecordBatch], dict | None],
                 made = fn(block, batch.slice(rows.start, rows.stop - rows.start))
                 if made is not None:
                     yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -259,6 +269,6 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 __all__ = [
-    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "Words", "blocks_of", "checkpointed", "grams", "id_and_text", "located", "map_texts",
+    "BLANKS", "BLOCK", "Block", "MARKS", "Memo", "Words", "blocks_of", "checkpointed", "give_back", "grams", "id_and_text", "located", "map_texts",
     "merge_spans", "mix", "quoted", "sliding", "small_batches", "through_table",
 ]

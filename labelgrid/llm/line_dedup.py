@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from labelgrid.llm.common import LOWER, Block, map_texts, mix, quoted, small_batches, through_table
+from labelgrid.llm.common import LOWER, Block, give_back, map_texts, mix, quoted, small_batches, through_table
 
 MIN_DOCS, MIN_CHARS = 10, 1
 SHARD = 1 << 17
@@ -236,7 +236,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
                 [batch.column("line_row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())],
                 names=["line_row", "text", "line_count", "line_dropped"],
             )
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     schema = StructType([packed.schema["line_row"], *[StructField(n, k) for n, k in (("text", StringType()), ("line_count", LongType()), ("line_dropped", LongType()))]])
     out = joined.mapInArrow(cut, schema)
