@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 from labelgrid.functions import text as tx
 from labelgrid.operators.numbering import number_in_group
 from labelgrid.sources import schemas
+from labelgrid.sources.pieces import csv_records, nested_entries
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Header CSV with quoted multi-line fields; every field stripped; a malformed row fails the job."""
-    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False)
+    """Header CSV with quoted multi-line fields, read in byte ranges; every field stripped; a malformed row fails the job."""
+    fields = spark.createDataFrame([], schema).schema
+    options = {"quote": '"', "escape": '"', "mode": "FAILFAST", "multiLine": "true"}
+    df = csv_records(spark, path, fields.names).select(F.from_csv("text", schema, options).alias("row")).select("row.*")
     return df.select(*[tx.strip(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
@@ -23,17 +26,19 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.QUERIES).select("query_id", F.col("query").alias("text"), F.col("type").alias("query_type"))
 
 
-def _maps(spark: SparkSession, path: str, schema: T.MapType, whole_file: bool) -> DataFrame:
-    """One nested object per file (``whole_file``) or per line, as a map column ``m``."""
-    text = spark.read.text(path, wholetext=whole_file)
-    parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
-    return text.where(F.trim("value") != "").select(parsed.alias("m"))
+def _entries(spark: SparkSession, path: str, value: T.DataType, whole_file: bool) -> DataFrame:
+    """``outer, inner, value`` of one nested object per file (``whole_file``, read in byte ranges) or per line."""
+    if whole_file:
+        return nested_entries(spark, path, value)
+    schema = T.MapType(T.StringType(), T.MapType(T.StringType(), value))
+    text = spark.read.text(path).where(F.trim("value") != "")
+    outer = text.select(F.explode(F.from_json("value", schema, {"mode": "FAILFAST"})).alias("outer", "items"))
+    return outer.select("outer", F.explode("items").alias("inner", "value"))
 
 
 def read_text_cache(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """``{field: {id: text}}`` as rows ``field, item_id, text``."""
-    fields = _maps(spark, path, schemas.NESTED_TEXTS, whole_file).select(F.explode("m").alias("field", "texts"))
-    return fields.select("field", F.explode("texts").alias("item_id", "text"))
+    return _entries(spark, path, T.StringType(), whole_file).toDF("field", "item_id", "text")
 
 
 def read_qrels(spark: SparkSession, binary: str, graded: str | None = None, threshold: int = 1, whole_file: bool = True, pattern: str | None = tx.ITEM_ID) -> DataFrame:
@@ -44,8 +49,7 @@ def read_qrels(spark: SparkSession, binary: str, graded: str | None = None, thre
     """
     use_graded = graded is not None and _exists(spark, graded)
     top, limit = (3, threshold) if use_graded else (1, 1)
-    rows = _maps(spark, graded if use_graded else binary, schemas.NESTED_GAINS, whole_file).select(F.explode("m").alias("query_id", "items"))
-    rows = rows.select("query_id", F.explode("items").alias("item_id", "gain"))
+    rows = _entries(spark, graded if use_graded else binary, T.IntegerType(), whole_file).toDF("query_id", "item_id", "gain")
     gain = F.when(F.col("gain").between(0, top), F.col("gain")).otherwise(
         F.raise_error(F.concat(F.lit("gain out of range for "), "query_id", F.lit("/"), "item_id")).cast("int"))
     item = F.col("item_id") if pattern is None else tx.canonical_id(F.col("item_id"), pattern)
@@ -59,8 +63,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_rankings(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """``{query: {system: [ids]}}`` as ranked rows."""
-    rows = _maps(spark, path, schemas.NESTED_RANKINGS, whole_file).select(F.explode("m").alias("query_id", "systems"))
-    return explode_rankings(rows.select("query_id", F.explode("systems").alias("system", "items")))
+    return explode_rankings(_entries(spark, path, T.ArrayType(T.StringType()), whole_file).toDF("query_id", "system", "items"))
 
 
 def explode_rankings(df: DataFrame, items: str = "items") -> DataFrame:

@@ -1,7 +1,5 @@
 """Explicit schemas of every file and table; nothing is inferred."""
 
-from pyspark.sql import types as T
-
 QUERIES = "query_id string, query string, type string"
 OCR_TEXTS = "id string, texto_referencia string"
 OCR_PREDICTIONS = "id string, texto_ocr string"
@@ -9,10 +7,6 @@ SAMPLE = "id string, grupo string, legibilidad string, fondo string, forma strin
 POOL = "query_id string, img_id string, relevante_0_1 string"
 BLIND_KEY = "modelo_ciego string, modelo_real string"
 
-NESTED_TEXTS = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))
-NESTED_GAINS = T.MapType(T.StringType(), T.MapType(T.StringType(), T.IntegerType()))
-NESTED_RANKINGS = T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-
 SEGMENTS = "eval_id string, image_path string, `group` int, filename string, segment_id string, segment_type string, segment_text string"
 
 # Relational catalogue, column for column.
