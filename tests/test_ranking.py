@@ -120,3 +120,38 @@ def test_overlap_of_stored_lists(spark):
 def test_pool_marks(spark):
     pool = spark.createDataFrame([("q", str(i), m) for i, m in enumerate(["1", " 2 ", "3", "0", "", None, "x"])], "query_id string, item_id string, mark string")
     assert sorted(r["gain"] for r in me.pool_to_qrels(pool).collect()) == [1, 2, 3]
+
+
+def test_metrics_equal_a_plain_version(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    ranked, gains = [], {}
+    for q in range(6):
+        items = [f"i{n}" for n in range(25)]
+        gains[f"q{q}"] = {i: rng.choice([0, 0, 1, 2, 3]) for i in rng.sample(items, [0, 1, 8, 20, 5, 25][q])}
+        for system in ("a", "b"):
+            rng.shuffle(items)
+            ranked += [(f"q{q}", system, i, n + 1, system == "a") for n, i in enumerate(items[: rng.choice([1, 12, 25])])]
+    qrels = spark.createDataFrame([(q, i, g) for q, items in gains.items() for i, g in items.items()], QRELS)
+    found = {(r["query_id"], r["system"]): r for r in me.metrics_for_rankings(spark.createDataFrame(ranked, RANKED), qrels).collect()}
+    runs = {}
+    for q, system, item, rank, complete in ranked:
+        runs.setdefault((q, system), []).append(gains[q].get(item, 0))
+    assert set(found) == set(runs)
+    for (q, system), got in runs.items():
+        row, n_rel = found[q, system], sum(g > 0 for g in gains[q].values())
+
+        def dcg(values):
+            return sum((2**g - 1) / math.log2(n + 2) for n, g in enumerate(values[:10]))
+
+        best = dcg(sorted(gains[q].values(), reverse=True))
+        hits = [n + 1 for n, g in enumerate(got) if g > 0]
+        ap = sum((n + 1) / rank for n, rank in enumerate(hits)) / n_rel if n_rel else 0
+        assert (row["depth"], row["complete"]) == (len(got), system == "a")
+        assert row["ndcg_at_10"] == pytest.approx(dcg(got) / best if best else 0)
+        assert row["map"] == (pytest.approx(ap) if system == "a" else None)
+        assert row["p_at_5"] == pytest.approx(sum(r <= 5 for r in hits) / 5)
+        assert row["recall_at_10"] == pytest.approx(sum(r <= 10 for r in hits) / n_rel if n_rel else 0)
+        assert row["mrr_at_10"] == pytest.approx(1 / hits[0] if hits and hits[0] <= 10 else 0)

@@ -178,3 +178,10 @@ def test_vectors(spark):
     rows = df.select(vec.l2_normalize(F.col("v")).alias("u"), vec.clean_sparse(F.col("m")).alias("s")).collect()
     assert rows[0]["u"] == pytest.approx([0.6, 0.8]) and rows[1]["u"] == [0.0, 0.0]
     assert [tuple(e) for e in rows[0]["s"]] == [(1, 2.0), (5, 1.5)]
+
+
+def test_ascii_form_of_every_character(spark):
+    chars = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c <= 0xDFFF]
+    rows = ["".join(chars[i : i + 500]) for i in range(0, len(chars), 500)] + ["ﬁn Ⅷ ½ ñ ŉ𝐀 x", "", "plain"]
+    found = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", tx.to_ascii(F.col("t")).alias("a")).collect()
+    assert {r["i"]: r["a"] for r in found} == {i: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for i, t in enumerate(rows)}
